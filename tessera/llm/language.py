@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_batch, map_text, pick
@@ -67,8 +67,11 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> dict[str
             yield as_batch([[lang] * len(k), k, n], pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())]))
 
     sums = map_text(rows.select("doc_id", "text", "lang").repartition(8, "doc_id"), "text", grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = sums.groupBy("lang").agg(F.expr(f"max_by(gram, struct(n, -gram), {top})").alias("grams"))
-    return {r.lang: np.array(r.grams, np.int64) for r in sorted(best.collect(), key=lambda r: r.lang)}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best: dict[str, list[int]] = {}
+    for r in sums.withColumn("place", place).where(F.col("place") <= top).orderBy("lang", "place").collect():
+        best.setdefault(r.lang, []).append(r.gram)
+    return {lang: np.array(grams, np.int64) for lang, grams in best.items()}
 
 
 class Profiles:
