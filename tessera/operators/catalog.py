@@ -1,0 +1,59 @@
+"""Queries of the library's own operators and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import bytes as b
+from tessera.operators import sampling, sweep
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.slices(_docs(spark, sf_dir))
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source")
+
+
+def queries() -> dict:
+    return {
+        "byte_histogram": lambda s, d: b.histogram(_slices(s, d)).select("id", "byte", "n", F.round("p", 9).alias("p")),
+        "byte_entropy": lambda s, d: b.entropy(_slices(s, d)),
+        "bit_density": lambda s, d: b.bit_density(_slices(s, d)),
+        "adjacent_bytes": lambda s, d: b.adjacent(_slices(s, d)),
+        "run_lengths": lambda s, d: b.run_lengths(_slices(s, d)),
+        "stratified_sample": lambda s, d: sampling.stratified(_rows(s, d), "source", 200),
+        "train_test_split": lambda s, d: sampling.split(_rows(s, d), "source"),
+        "best_pipeline": lambda s, d: sweep.best(sweep.sweep(_slices(s, d))),
+    }
+
+
+_BYTES = """WITH d AS (SELECT doc_id AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (SELECT id, p AS pos, ('0x' || substr(h, 2 * p + 1, 2))::INT AS byte FROM (SELECT id, h, unnest(range(length(h) // 2)) AS p FROM d)),
+c AS (SELECT id, byte, count(*) AS n FROM e GROUP BY ALL),
+q AS (SELECT *, n / sum(n) OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY n DESC, byte) AS place FROM c)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    bits = ", ".join(f"round(avg((byte >> {7 - k}) & 1), 6) AS bit{k}" for k in range(8))
+    return {
+        "byte_histogram": _BYTES + "SELECT id, byte, n, round(p, 9) AS p FROM q",
+        "byte_entropy": _BYTES + """SELECT id, round(-sum(p * log2(p)), 6) AS entropy, round(sum(CASE WHEN byte = 0 THEN p ELSE 0.0 END), 6)::DOUBLE AS zero_frac,
+round(sum(CASE WHEN byte = 255 THEN p ELSE 0.0 END), 6)::DOUBLE AS ff_frac, round(max(p), 6) AS top1_frac, round(sum(CASE WHEN place <= 4 THEN p ELSE 0.0 END), 6) AS top4_frac,
+round(count(*) / 256, 6) AS unique_byte_ratio, round(sum(p * byte) / 255, 6) AS mean_byte,
+round(sqrt(greatest(0.0, sum(p * byte * byte) - sum(p * byte) * sum(p * byte))) / 128, 6) AS std_byte FROM q GROUP BY id""",
+        "bit_density": _BYTES + f"SELECT id, {bits} FROM e GROUP BY id",
+        "adjacent_bytes": _BYTES + """SELECT id, round(avg((d = 0)::INT), 6) AS same_adjacent, round(avg(d) / 255, 6) AS mean_delta, round(stddev_pop(d) / 255, 6) AS std_delta
+FROM (SELECT id, abs(byte - lag(byte) OVER (PARTITION BY id ORDER BY pos)) AS d FROM e) WHERE d IS NOT NULL GROUP BY id""",
+        "stratified_sample": """SELECT id, source, place FROM (SELECT doc_id AS id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id)::INT AS place FROM documents)
+WHERE place <= 200""",
+        "train_test_split": """SELECT id, source, place <= CASE WHEN n <= 1 THEN 0 ELSE least(n - 1, greatest(1, n // 5)) END AS test
+FROM (SELECT doc_id AS id, source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents)""",
+    }
