@@ -59,7 +59,7 @@ def ranked(keys: np.ndarray, sums: np.ndarray, top: int = TOP) -> np.ndarray:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> dict[str, np.ndarray]:
     """Profiles from (doc_id, text, lang). What is collected is the top n-grams of the few languages of a bounded sample."""
-    rows = labelled.where("text is not null and lang is not null").withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).orderBy("order", "lang", F.md5("text")).limit(sample)
+    rows = pick(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null").withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).orderBy("order", "lang", F.md5("text")).limit(sample)
 
     def grams(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for text, lang in zip(batch.column(1), batch.column(2).to_pylist()):
