@@ -136,7 +136,7 @@ def near(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     comp = components(found)
     found = found.union(links(apart(likely, comp)))
     comp = components(found)
-    # What is left in a bucket is one row for each component but the largest part, tried against all members of other components.
+    # All members of a bucket whose components still differ are tried against each other: few after the stars, but quadratic in a bucket of many components.
     placed = members.join(comp.toDF("id", "k"), "id", "left").select("band", "id", F.coalesce("k", "id").alias("k"))
     several = placed.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")
     placed = materialize(placed.join(several, "band"), "band-parts")
