@@ -47,9 +47,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about `limit` bytes of text, one row at least: bounds what a Python worker holds."""
+    """The same rows in pieces of about `limit` bytes of text (or of a list of longs), one row at least: bounds what a Python worker holds."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
+        values = batch.column(batch.schema.get_field_index(column))
+        lengths = pa.compute.multiply(pa.compute.list_value_length(values), 8) if pa.types.is_list(values.type) else pa.compute.binary_length(values)
+        lengths = lengths.fill_null(0).to_numpy(zero_copy_only=False)
         start, size = 0, 0
         for i, n in enumerate(lengths):
             if i > start and size + n > limit:

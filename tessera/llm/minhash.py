@@ -1,9 +1,15 @@
 """Near-duplicate documents: universal-hash minima, banding, signature verification, exact confirmation and connected components.
 
-A text's set is its distinct word shingles. Texts of one set are one class (copies cost nothing further). A class has 128 minima of hashes (a*x + b) mod (2^61 - 1); 32 bands of
+A text's set is its distinct word shingles. Texts of one set are one class (copies cost nothing further). A class has 128 minima of universal hashes (a*x + b mod 2^64) >> 32; 32 bands of
 4 make buckets, which a pair at the threshold of 0.85 shares with a probability over 1 - 1e-10. In a bucket each class is first tried against one centre (another one for each
 band); pairs whose signatures agree by at least the threshold less five standard errors are confirmed on the full sets, the best one of each class first. Links found are
-joined to components; what is in one component needs no more tries. Then all pairs of a bucket whose components still differ go the same way, so that no candidate link is lost.
+joined to components; what is in one component needs no more tries.
+
+Classes of buckets whose components still differ go on to an exact search, so that no link is lost. Their shingles are ordered by how many of these classes have them; two sets at the
+threshold share a shingle among the first few of both, so a class whose first ones are all its own has no link and drops out. Classes meet under such a shingle and a range of set
+sizes; a meeting of one component is dropped, a large one is dealt over pairs of salted blocks. A block bounds the overlap of two sets in columns, by their first shingles alone, and
+returns a pair only under the first shingle it shares, and only if the bound reaches the threshold; those are confirmed on the full sets. What stays quadratic is computing that bound
+for unlinked classes that share a rare shingle.
 
 Cases: null, empty or blank text has an empty set and is its own component; ties go to the smaller id; rows that repeat a doc_id are each returned, with the smallest set digest
 winning in links of that id; a null doc_id has a null component and isn't linked; an empty table gives no rows.
@@ -12,11 +18,11 @@ winning in links of that id; a null doc_id has a null component and isn't linked
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,46 +30,44 @@ from tessera.llm.common import as_batch, map_text, materialize, pick
 from tessera.llm.graph import components
 
 BANDS, ROWS = 32, 4
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-PRIME = np.uint64((1 << 61) - 1)
+#: Shingles that a block's rows hold, about: bounds what one meeting holds in a task.
+BLOCK = 1 << 17
 _rng = np.random.default_rng(4)
-_A = _rng.integers(1, 1 << 61, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
-_B = _rng.integers(0, 1 << 61, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
-_LOW = np.uint64((1 << 32) - 1)
+#: h(x) = (a*x + b mod 2^64) >> 32 with random 64-bit a, b is strongly universal on 32-bit x.
+_A = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+_B = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+_PLACE = _rng.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mod(x: np.ndarray) -> np.ndarray:
-    x = (x & PRIME) + (x >> np.uint64(61))
-    return np.where(x >= PRIME, x - PRIME, x)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every bit."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * _PLACE[1]
+    return x ^ (x >> np.uint64(32))
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 61-bit values of the text's shingles."""
-    words = _WORD.findall((text or "").translate(_LOWER))
+    """Sorted distinct 64-bit values of the text's shingles. Bytes lower and split exactly A-Z and the six ASCII white spaces; words are hashed once each, shingles in columns."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(size, len(words))
-    found = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-    data = b"".join(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest() for s in found)
-    return np.unique(np.frombuffer(data, "<u8") >> np.uint64(3))
+    out = np.full(len(words) - n + 1, n, np.uint64)
+    for i in range(n):
+        out = _mixed(out * _PLACE[0] + word[i : len(words) - n + 1 + i])
+    return np.unique(out)
 
 
 def signature(values: np.ndarray) -> np.ndarray:
-    """Minima of 128 universal hashes, folded to 32 bits each. x has two halves: (a*x mod 2^61-1) by 32-bit multiplications, piece by piece."""
+    """Minima of 128 universal hashes, 32 bits each, block by block."""
     least = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 1024):
-        x = _mod(values[at : at + 1024])[None, :]
-        a = _A[:, None]
-        # a*x mod p = (ah*x mod p)*2^32 + al*x with halves of x below 2^32 in both products
-        low, high = x & _LOW, x >> np.uint64(32)
-        al, ah = a & _LOW, a >> np.uint64(32)
-        middle = _mod(_mod(al * high) + _mod(ah * low))
-        shifted = _mod((middle >> np.uint64(29)) + ((middle & np.uint64((1 << 29) - 1)) << np.uint64(32)))
-        product = _mod(_mod(al * low) + shifted)
-        product = _mod(product + _mod((ah * high) << np.uint64(3)))
-        least = np.minimum(least, _mod(product + _mod(_B)[:, None]).min(axis=1))
-    return (least ^ (least >> np.uint64(32))).astype(np.uint32)
+    x = values >> np.uint64(32)
+    for at in range(0, len(x), 512):
+        h = _A[:, None] * x[None, at : at + 512]
+        h += _B[:, None]
+        np.minimum(least, h.min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
@@ -75,16 +79,91 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("sig", pa.binary()), ("set", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("sig", pa.binary()), ("set", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     rows = []
     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
         s = shingles(text.as_py(), size)
         sig = signature(s)
         bands = [int.from_bytes(hashlib.blake2b(bytes([i]) + sig[ROWS * i : ROWS * i + ROWS].tobytes(), digest_size=8).digest(), "little", signed=True) for i in range(BANDS)]
-        rows.append((doc, sig.tobytes(), s.tobytes(), bands))
+        rows.append((doc, sig.tobytes(), s.view(np.int64), bands))
     yield as_batch([*zip(*rows)] if rows else [[]] * 4, schema)
 
 
+def _possible(batch: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of each block that may reach the threshold; a block's row has its shingle and a list of (id, component, set size, shingles of its own, is probe, first shared ones)."""
+    lists = batch.column(1)
+    at, rows = lists.offsets.to_numpy(), lists.values
+    *columns, firsts = (rows.field(i) for i in range(6))
+    ids, comps, sizes, alone, probe = (c.to_numpy(zero_copy_only=False) for c in columns)
+    ends, values = firsts.offsets.to_numpy(), firsts.values.to_numpy(zero_copy_only=False)
+    out = []
+    for key, lo, hi in zip(batch.column(0).to_pylist(), at[:-1], at[1:]):
+        of = lo + np.flatnonzero(~probe[lo:hi])
+        names, dense = np.unique(values[ends[lo] : ends[hi]], return_inverse=True)
+        pieces = [dense[ends[i] - ends[lo] : ends[i + 1] - ends[lo]] for i in range(lo, hi)]
+        held = np.concatenate([pieces[i - lo] for i in of])
+        start = np.cumsum([0, *(len(pieces[i - lo]) for i in of)])[:-1]
+        last = np.array([pieces[i - lo][-1] for i in of])
+        sooner = held < np.searchsorted(names, key)
+        has = np.zeros(len(names), np.int32)
+        for i in lo + np.flatnonzero(probe[lo:hi]):
+            mine = pieces[i - lo]
+            has[mine] = 1
+            common = has[held]
+            has[mine] = 0
+            both, known = np.add.reduceat(common, start), np.minimum(last, mine[-1])
+            seen = alone[of] + np.add.reduceat((held <= mine[-1]).astype(np.int32), start)
+            most = both + np.minimum(sizes[of] - seen, sizes[i] - alone[i] - np.searchsorted(mine, known, "right"))
+            ok = ((100 + percent) * most >= percent * (sizes[i] + sizes[of])) & (comps[of] != comps[i]) & (np.add.reduceat(common * sooner, start) == 0)
+            ok &= (sizes[of] < sizes[i]) | ((sizes[of] == sizes[i]) & (ids[of] < ids[i]))
+            out += [(ids[i], j) for j in ids[of[ok]]]
+    yield as_batch([*zip(*out)] if out else [[], []], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
+def _meet(unclear: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components of (id, k, set) that may be links, with all that are; see above. k is the component. With sizes |y| <= |x|, x looks under its first
+    |x| - percent*|x| + 1 shingles and y waits under its first |y| - 2*percent/(100+percent)*|y| + 1; a range of sizes spans a little more than the threshold, so y is in x's range or
+    the one before. A shingle's key is its count and 40 of its bits, so keys sort as the shingles do; two under one key can only add a pair to confirm."""
+    own = unclear.select("id", F.explode("set").alias("q"))
+    shares = own.groupBy("q").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    keyed = own.join(shares, "q").select("id", F.shiftleft(F.least("c", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.col("q").bitwiseAND(F.lit((1 << 40) - 1))).alias("key"))
+    ordered = keyed.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    n, alone = F.col("n"), F.col("n") - F.size("keys")
+    looks = n - F.ceil(n * percent / 100) + 1
+    sets = materialize(
+        ordered.join(unclear.select("id", "k", F.size("set").alias("n")), "id")
+        .select("id", "k", "n", alone.alias("alone"), F.slice("keys", 1, F.greatest(F.lit(0), 2 * looks - alone).cast("int")).alias("firsts"), (looks - alone).alias("looks"))
+        .withColumn("waits", n - F.ceil(n * (2 * percent) / (100 + percent)) + 1 - F.col("alone"))
+        .withColumn("range", F.floor(F.log(n) / float(-np.log(percent / 100 * 0.99))))
+        .where("looks > 0"),
+        "unclear-sets",
+    )
+
+    def under(places: str, probe: bool, ranges) -> DataFrame:
+        at = F.slice("firsts", 1, F.greatest(F.col(places), F.lit(0)).cast("int"))
+        rows = sets.select("id", "k", F.size("firsts").alias("held"), F.explode(at).alias("key"), ranges.alias("ranges"))
+        return rows.select("key", F.explode("ranges").alias("range"), "id", "k", "held", F.lit(probe).alias("probe"))
+
+    range_ = F.col("range")
+    rows = under("looks", True, F.array(range_, range_ - 1)).union(under("waits", False, F.array(range_)))
+    worth = rows.groupBy("key", "range").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max("probe").alias("p"), F.min("probe").alias("w"), F.sum("held").alias("held"))
+    worth = worth.where("lo < hi and p and not w").select("key", "range", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.join(worth, ["key", "range"]).select("key", "range", "id", "probe", mine.alias("mine"), other.alias("other"))
+    dealt = dealt.select("key", "range", F.when(F.col("probe"), F.col("mine")).otherwise(F.col("other")).alias("a"), F.when(F.col("probe"), F.col("other")).otherwise(F.col("mine")).alias("b"), "id", "probe")
+    full = dealt.join(sets.select("id", "k", "n", "alone", "firsts"), "id")
+    blocks = full.groupBy("key", "range", "a", "b").agg(F.collect_list(F.struct("id", "k", "n", "alone", "probe", "firsts")).alias("rows"))
+    blocks = blocks.where("exists(rows, r -> r.probe) and exists(rows, r -> not r.probe)").select("key", "rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _possible(batch, percent)
+
+    return blocks.mapInArrow(run, "u long, v long")
+
+
 def _tried(pairs: DataFrame, classes: DataFrame, column: str, schema: str, test) -> DataFrame:
     """Pairs (u, v) with `column` of both looked up and tested in Arrow batches."""
     left = classes.select(F.col("id").alias("u"), F.col(column).alias("x"))
@@ -100,7 +179,7 @@ def near(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sets = materialize(map_text(d, "text", lambda b: _sets(b, size), "doc_id long, n_shingles long, digest binary"), "shingle-sets")
     classes = materialize(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "set-classes")
     chosen = d.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full = materialize(map_text(chosen, "text", lambda b: _bands(b, size), "id long, sig binary, set binary, bands array<long>", 1 << 20), "signatures")
+    full = materialize(map_text(chosen, "text", lambda b: _bands(b, size), "id long, sig binary, set array<long>, bands array<long>", 1 << 20), "signatures")
     keys = full.select("id", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "band"), "id")).alias("c")).where("n > 1").select("band", F.col("c.id").alias("centre"))
     members = materialize(keys.join(shared, "band"), "band-members")
@@ -114,11 +193,11 @@ def near(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     def confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
-        for u, x, v, y in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for u, x, v, y in zip(*batch.columns):
+            a, b = (z.values.to_numpy(zero_copy_only=False) for z in (x, y))
             both = len(np.intersect1d(a, b, assume_unique=True))
             if 100 * both >= percent * (len(a) + len(b) - both):
-                rows.append((u, v))
+                rows.append((u.as_py(), v.as_py()))
         yield as_batch([*zip(*rows)] if rows else [[], []], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -136,14 +215,10 @@ def near(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     comp = components(found)
     found = found.union(links(apart(likely, comp)))
     comp = components(found)
-    # All members of a bucket whose components still differ are tried against each other: few after the stars, but quadratic in a bucket of many components.
-    placed = members.join(comp.toDF("id", "k"), "id", "left").select("band", "id", F.coalesce("k", "id").alias("k"))
+    placed = members.select("band", "id").join(comp.toDF("id", "k"), "id", "left").select("band", "id", F.coalesce("k", "id").alias("k"))
     several = placed.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")
-    placed = materialize(placed.join(several, "band"), "band-parts")
-    other = placed.toDF("band", "v", "kv")
-    rest = placed.join(other, "band").where("k < kv").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
-    last = materialize(_tried(rest, full, "sig", "u long, v long, alike double", agree), "likely-rest")
-    comp = components(found.union(links(last)))
+    unclear = materialize(placed.join(several, "band").select("id", "k").distinct(), "unclear").join(full.select("id", "set"), "id")
+    comp = components(found.union(links(materialize(_meet(unclear, percent), "possible").distinct())))
     # The smallest document of a component is the smallest of its classes' smallest.
     named = classes.join(comp.toDF("id", "component_id"), "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     return (

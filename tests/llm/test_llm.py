@@ -43,6 +43,36 @@ def test_near_duplicates(spark):
     assert got[4].n_shingles == 0 and got[4].kept
 
 
+def test_near_duplicates_around_the_threshold(spark):
+    r = random.Random(9)
+    bases = [prose(n, n).split() for n in (4, 30, 90, 91)]
+    texts = [" ".join(r.choice(["x%d" % r.randint(0, 999), w]) if r.random() < p else w for w in base) for base in bases for p in (0.02, 0.05, 0.08, 0.12) for _ in range(25)]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))})
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                a, b = sorted((want[i], want[j]))
+                want = [a if k == b else k for k in want]
+    got = sorted(minhash.near(frame(spark, texts), 3, 85).collect(), key=lambda r: r.doc_id)
+    assert [r.component_id for r in got] == want and [r.n_shingles for r in got] == [len(s) for s in sets]
+
+
+@pytest.mark.parametrize("block", [1, 400])
+def test_exact_search_of_unclear_classes(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(3)
+    sets = [sorted({r.choice([r.randint(0, 10**6), b]) if r.random() < p else b for b in range(k, k + 60)}) for k in (0, 40) for p in (0.05, 0.15, 0.3) for _ in range(12)]
+    d = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "id long, k long, set array<long>")
+    got = {frozenset(x) for x in minhash._meet(d, 85).collect()}
+    want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if 100 * len({*sets[i]} & {*sets[j]}) >= 85 * len({*sets[i]} | {*sets[j]})}
+
+    assert want and want <= got and len(got) < len(sets) ** 2 / 8
+
+
 @pytest.mark.parametrize("text", ["", "password = 'abcdef'", "token=abc", "AKIA" + "A" * 16, "AKIA" + "A" * 15, "xé" + "0a" * 12 + "Z", "secret: 12 api_key==abcdefg", "PassWord=password=longer1"])
 def test_base_rules_against_regular_expressions(text):
     rules = {"assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
