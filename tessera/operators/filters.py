@@ -1,9 +1,14 @@
-"""Reversible filters on the bytes of a slice, with their inverses. Typed filters read little-endian integers of `size` bytes; a rest that fills no item follows unchanged."""
+"""Reversible filters on the bytes of a slice, with their inverses. Typed filters read little-endian integers of `size` bytes; a rest that fills no item follows unchanged, but
+for integer codes (varint, bit_packing), which take whole items alone and raise ValueError otherwise."""
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
+from tessera.operators import coding
+
 
 def _split(raw: bytes, size: int) -> tuple[np.ndarray, bytes]:
     n = len(raw) // size * size
@@ -42,7 +47,7 @@ def unxor(raw: bytes, size: int = 1) -> bytes:
     return np.bitwise_xor.accumulate(x).tobytes() + rest if len(x) else rest
 
 
-def varint(n: int) -> bytes:
+def length_code(n: int) -> bytes:
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -56,7 +61,7 @@ def rle(raw: bytes) -> bytes:
     if not len(x):
         return b""
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return b"".join(varint(int(n)) + bytes([x[a]]) for a, n in zip(at, np.diff(np.append(at, len(x)))))
+    return b"".join(length_code(int(n)) + bytes([x[a]]) for a, n in zip(at, np.diff(np.append(at, len(x)))))
 
 
 def unrle(raw: bytes) -> bytes:
@@ -73,4 +78,178 @@ def unrle(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-FILTERS = {"identity": (bytes, bytes), "shuffle": (shuffle, unshuffle), "delta": (delta, undelta), "xor": (xor, unxor), "rle": (rle, unrle)}
+def bitshuffle(raw: bytes, size: int = 4) -> bytes:
+    x, rest = _split(raw, size)
+    bits = np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 8 * size)
+    return np.packbits(bits.T.ravel(), bitorder="little").tobytes() + rest
+
+
+def unbitshuffle(raw: bytes, size: int = 4) -> bytes:
+    x, rest = _split(raw, size)
+    bits = np.unpackbits(x.view(np.uint8), bitorder="little").reshape(8 * size, -1)
+    return np.packbits(bits.T.ravel(), bitorder="little").tobytes() + rest
+
+
+def tdt(raw: bytes, size: int = 4) -> bytes:
+    """Byte planes, the highest byte's first."""
+    x, rest = _split(raw, size)
+    return x.view(np.uint8).reshape(-1, size)[:, ::-1].T.tobytes() + rest
+
+
+def untdt(raw: bytes, size: int = 4) -> bytes:
+    x, rest = _split(raw, size)
+    return x.view(np.uint8).reshape(size, -1)[::-1].T.tobytes() + rest
+
+
+def delta2(raw: bytes, size: int = 1) -> bytes:
+    return delta(delta(raw, size), size)
+
+
+def undelta2(raw: bytes, size: int = 1) -> bytes:
+    return undelta(undelta(raw, size), size)
+
+
+def _whole(raw: bytes, size: int) -> np.ndarray:
+    x, rest = _split(raw, size)
+    if rest:
+        raise ValueError(f"{len(raw)} bytes aren't items of {size}")
+    return x
+
+
+def varint(raw: bytes, size: int = 4, signed: bool = True) -> bytes:
+    """LEB128 of each item, of its zigzag code if signed."""
+    x = _whole(raw, size)
+    return coding.uleb(coding.zigzag(x.view(f"<i{size}")) if signed else x)
+
+
+def unvarint(raw: bytes, size: int = 4, signed: bool = True) -> bytes:
+    v, _ = coding.unuleb(raw)
+    return (coding.unzigzag(v) if signed else v).astype(f"<u{size}").tobytes()
+
+
+def bit_packing(raw: bytes, size: int = 4, signed: bool = True) -> bytes:
+    """Count and bit width as LEB128, then all items (zigzag codes if signed) at that width."""
+    x = _whole(raw, size)
+    v = coding.zigzag(x.view(f"<i{size}")) if signed else x.astype(np.uint64)
+    bits = coding.width(v)
+    return coding.uleb([len(v), bits]) + coding.pack(v, bits)
+
+
+def unbit_packing(raw: bytes, size: int = 4, signed: bool = True) -> bytes:
+    (n, bits), at = coding.unuleb(raw, 2)
+    v = coding.unpack(raw[at:], int(n), int(bits))
+    return (coding.unzigzag(v) if signed else v).astype(f"<u{size}").tobytes()
+
+
+def dictionary(raw: bytes, size: int = 1) -> bytes:
+    """Token size, tokens, entries and bit width as LEB128, the entries as first seen, and each token's entry at that width; tokens of one byte where the size doesn't divide."""
+    size = size if len(raw) % size == 0 else 1
+    tokens = np.frombuffer(raw, f"V{size}") if size not in (1, 2, 4, 8) else np.frombuffer(raw, f"<u{size}")
+    names, first, of = np.unique(tokens, return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(len(order), np.uint64)
+    rank[order] = np.arange(len(order), dtype=np.uint64)
+    bits = max(0, len(names) - 1).bit_length()
+    return coding.uleb([size, len(tokens), len(names), bits]) + names[order].tobytes() + coding.pack(rank[of.ravel()], bits)
+
+
+def undictionary(raw: bytes) -> bytes:
+    (size, n, entries, bits), at = coding.unuleb(raw, 4)
+    end = at + int(size * entries)
+    names = np.frombuffer(raw[at:end], f"V{int(size)}")
+    return names[coding.unpack(raw[end:], int(n), int(bits)).astype(np.int64)].tobytes()
+
+
+def records(raw: bytes, size: int = 1) -> list[bytes]:
+    """Lines with their ends where there are two line feeds or more; else pieces of `size`."""
+    return raw.splitlines(keepends=True) if raw.count(b"\n") >= 2 else [raw[i : i + size] for i in range(0, len(raw), size)]
+
+
+def delta_length(raw: bytes, size: int = 1) -> bytes:
+    """Number of records, zigzag differences of their lengths, all as LEB128, and the bytes."""
+    lengths = np.array([len(r) for r in records(raw, size)], np.int64)
+    return coding.uleb([len(lengths)]) + coding.uleb(coding.zigzag(np.diff(lengths, prepend=0))) + raw
+
+
+def undelta_length(raw: bytes) -> bytes:
+    (n,), at = coding.unuleb(raw, 1)
+    _, at = coding.unuleb(raw, int(n), at)
+    return raw[at:]
+
+
+def front_coding(raw: bytes, size: int = 1) -> bytes:
+    """Number of records; of each one how many bytes it shares with the one before, how many follow, and these."""
+    out, before = [], b""
+    pieces = records(raw, size)
+    for r in pieces:
+        shared = len(os.path.commonprefix([before, r]))
+        out += [length_code(shared), length_code(len(r) - shared), r[shared:]]
+        before = r
+    return length_code(len(pieces)) + b"".join(out)
+
+
+def unfront_coding(raw: bytes) -> bytes:
+    (n,), at = coding.unuleb(raw, 1)
+    out, before = [], b""
+    for _ in range(int(n)):
+        (shared, more), at = coding.unuleb(raw, 2, at)
+        before = before[: int(shared)] + raw[at : at + int(more)]
+        at += int(more)
+        out.append(before)
+    return b"".join(out)
+
+
+def packbits(raw: bytes) -> bytes:
+    """PackBits: 1 to 128 bytes as they are after n - 1, or a byte n times (2 to 128) after 257 - n. Runs of two are left among bytes as they are."""
+    x = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(np.diff(x, prepend=x[:1] ^ 255) != 0) if len(x) else np.zeros(0, int)
+    out, plain = bytearray(), bytearray()
+
+    def flush() -> None:
+        for i in range(0, len(plain), 128):
+            piece = plain[i : i + 128]
+            out.append(len(piece) - 1)
+            out.extend(piece)
+        plain.clear()
+
+    for start, n in zip(at.tolist(), np.diff(np.append(at, len(x))).tolist()):
+        while n >= 3:
+            flush()
+            take = min(n, 128)
+            out += bytes([257 - take, raw[start]])
+            n -= take
+        plain += raw[start : start + 1] * n
+    flush()
+    return bytes(out)
+
+
+def unpackbits(raw: bytes) -> bytes:
+    out, at = [], 0
+    while at < len(raw):
+        n = raw[at]
+        out.append(raw[at + 1 : at + 2 + n] if n < 128 else raw[at + 1 : at + 2] * (257 - n) if n > 128 else b"")
+        at += 2 + n if n < 128 else 2 if n > 128 else 1
+    return b"".join(out)
+
+
+#: Forward and inverse of every filter by name.
+ALL = {
+    "identity": (bytes, bytes),
+    "shuffle": (shuffle, unshuffle),
+    "bitshuffle": (bitshuffle, unbitshuffle),
+    "delta": (delta, undelta),
+    "higher_order_delta": (delta2, undelta2),
+    "zigzag_uleb128_varint": (varint, unvarint),
+    "bit_packing": (bit_packing, unbit_packing),
+    "rle": (rle, unrle),
+    "dictionary_categorize": (dictionary, undictionary),
+    "byte_stream_split": (shuffle, unshuffle),
+    "nbit": (bit_packing, unbit_packing),
+    "packbits": (packbits, unpackbits),
+    "delta_length_byte_array": (delta_length, undelta_length),
+    "delta_byte_array": (front_coding, unfront_coding),
+    "tdt": (tdt, untdt),
+    "xor_residual": (xor, unxor),
+}
+#: Those of the default sweep.
+FILTERS = {n: ALL[n] for n in ("identity", "shuffle", "delta", "xor_residual", "rle")}

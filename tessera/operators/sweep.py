@@ -5,36 +5,98 @@ from __future__ import annotations
 import bz2
 import lzma
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.filters import FILTERS
+from tessera.operators.filters import ALL, FILTERS
 
-CODECS = {"zlib": (zlib.compress, zlib.decompress), "bz2": (bz2.compress, bz2.decompress), "lzma": (lzma.compress, lzma.decompress)}
-PIPELINES = [f"{f}->{c}" if f != "identity" else c for f in FILTERS for c in CODECS]
 
 
-def sweep(s: DataFrame) -> DataFrame:
-    """(id, pipeline, ordinal, ok, in_size, out_size, ratio): a filter's output is shared by its codecs. Rows stay where they are: no shuffle."""
+def _arrow(name: str, level: int | None = None) -> tuple[Callable, Callable]:
+    """A codec of Arrow's; the size is given back to it, as some of these don't hold it."""
+
+    def codec() -> pa.Codec:
+        return pa.Codec(name, compression_level=level) if level is not None else pa.Codec(name)
+
+    def pack(raw: bytes) -> bytes:
+        return codec().compress(raw, asbytes=True)
+
+    def unpack(packed: bytes, size: int) -> bytes:
+        return codec().decompress(packed, decompressed_size=size, asbytes=True) if size else b""
+
+    return pack, unpack
+
+
+def _raw_deflate(raw: bytes) -> bytes:
+    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return c.compress(raw) + c.flush()
+
+
+#: (pack, unpack given the size) by name; levels are fixed values.
+CODECS = {
+    "zlib": (lambda x: zlib.compress(x, 6), lambda x, n: zlib.decompress(x)),
+    "libdeflate": (_raw_deflate, lambda x, n: zlib.decompress(x, -15)),
+    "zstd": _arrow("zstd", 3),
+    "lz4": _arrow("lz4"),
+    "lz4hc": _arrow("lz4", 16),
+    "snappy": _arrow("snappy"),
+    "brotli": _arrow("brotli", 5),
+    "bzip2": (lambda x: bz2.compress(x, 9), lambda x, n: bz2.decompress(x)),
+    "xz_lzma2": (lambda x: lzma.compress(x, preset=6), lambda x, n: lzma.decompress(x)),
+}
+#: Codecs without an implementation here: a sweep that names one returns a row with the reason.
+MISSING = ("zlib_ng", "lzo", "lzf", "szip_libaec", "ucl_nrv", "blosclz", "fastlz", "lzfse", "libbsc", "huff0", "fse")
+DEFAULT = ("zlib", "bzip2", "xz_lzma2")
+_SCHEMA = "id long, pipeline string, ordinal long, ok boolean, in_size long, mid_size long, out_size long, ratio double, rate double, reason string"
+
+
+def names(filters: Sequence[str] = tuple(FILTERS), codecs: Sequence[str] = DEFAULT) -> list[str]:
+    return [c if f == "identity" else f"{f}->{c}" for f in filters for c in codecs]
+
+
+PIPELINES = names()
+
+
+def _row(raw: bytes, middle: bytes | None, back: Callable, codec: str, failed: str | None) -> tuple:
+    if middle is None or codec not in CODECS:
+        return False, len(raw), None, None, None, None, failed or f"codec {codec} isn't available"
+    pack, unpack = CODECS[codec]
+    packed = pack(middle)
+    ok = back(unpack(packed, len(middle))) == raw
+    return ok, len(raw), len(middle), len(packed), round(len(raw) / max(1, len(packed)), 6), round(len(packed) / max(1, len(raw)), 6), None if ok else "round trip differs"
+
+
+def sweep(s: DataFrame, filters: Sequence[str] = tuple(FILTERS), codecs: Sequence[str] = DEFAULT) -> DataFrame:
+    """Each slice through each filter and codec. A filter's output is shared by its codecs; what a filter refuses and codecs that aren't there are rows with a reason and ok false.
+    Rows stay where they are: no shuffle. An unknown filter name raises KeyError."""
+    chosen = [(f, *ALL[f]) for f in filters]
+    unknown = [c for c in codecs if c not in CODECS and c not in MISSING]
+    if unknown:
+        raise KeyError(unknown[0])
+    known = names(filters, codecs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for n, t in (x.split() for x in _SCHEMA.split(", "))])
         for batch in batches:
             rows = []
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ordinal = 0
-                for forward, back in FILTERS.values():
-                    middle = forward(raw)
-                    for pack, unpack in CODECS.values():
-                        packed = pack(middle)
-                        rows.append((i, PIPELINES[ordinal], ordinal, back(unpack(packed)) == raw, len(raw), len(packed), round(len(raw) / max(1, len(packed)), 6)))
+                raw, ordinal = raw or b"", 0
+                for _, forward, back in chosen:
+                    failed = middle = None
+                    try:
+                        middle = forward(raw)
+                    except ValueError as e:
+                        failed = str(e)
+                    for codec in codecs:
+                        rows.append((i, known[ordinal], ordinal, *_row(raw, middle, back, codec, failed)))
                         ordinal += 1
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["id", "pipeline", "ordinal", "ok", "in_size", "out_size", "ratio"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return s.select("id", "raw").mapInArrow(run, "id long, pipeline string, ordinal long, ok boolean, in_size long, out_size long, ratio double")
+    return s.select("id", "raw").mapInArrow(run, _SCHEMA)
 
 
 def best(results: DataFrame) -> DataFrame:
