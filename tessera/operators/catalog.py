@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import bytes as b
-from tessera.operators import sampling, sweep
+from tessera.operators import learning, names, sampling, sweep
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,32 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source")
 
 
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).select(F.col("l_returnflag").alias("y"), F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("p"))
+
+
+def _page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return rows.select("page_id", names.dataset_name(u).alias("dataset"), names.top_folder(u).alias("folder"), names.suffix(u).alias("suffix"))
+
+
+def _varints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = names.zigzag(F.col("o_orderkey") - F.col("o_custkey"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", z.alias("zigzag"), names.uleb_size(z).alias("bytes"))
+
+
+def _rounded(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.round(column, 6))
+
+
 def queries() -> dict:
     return {
         "byte_histogram": lambda s, d: b.histogram(_slices(s, d)).select("id", "byte", "n", F.round("p", 9).alias("p")),
@@ -30,6 +56,14 @@ def queries() -> dict:
         "run_lengths": lambda s, d: b.run_lengths(_slices(s, d)),
         "stratified_sample": lambda s, d: sampling.stratified(_rows(s, d), "source", 200),
         "train_test_split": lambda s, d: sampling.split(_rows(s, d), "source"),
+        "label_space": lambda s, d: learning.label_space(_items(s, d), "l_returnflag"),
+        "class_weights": lambda s, d: _rounded(learning.class_weights(_items(s, d), "l_returnflag"), "weight"),
+        "column_stats": lambda s, d: _rounded(_rounded(learning.column_stats(_items(s, d), _MEASURES), "mean"), "std"),
+        "quantile_thresholds": lambda s, d: _rounded(learning.thresholds(_items(s, d), _MEASURES), "threshold"),
+        "accuracy": lambda s, d: _rounded(learning.accuracy(_predicted(s, d), "y", "p"), "accuracy"),
+        "macro_f1": lambda s, d: _rounded(learning.macro_f1(_predicted(s, d), "y", "p"), "macro_f1"),
+        "page_names": _page_names,
+        "varint_sizes": _varints,
         "best_pipeline": lambda s, d: sweep.best(sweep.sweep(_slices(s, d))),
     }
 
@@ -43,6 +77,11 @@ q AS (SELECT *, n / sum(n) OVER (PARTITION BY id) AS p, row_number() OVER (PARTI
 
 def oracle_sql() -> dict[str, str]:
     bits = ", ".join(f"round(avg((byte >> {7 - k}) & 1), 6) AS bit{k}" for k in range(8))
+    stats = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) < 1e-6 THEN 1.0 ELSE stddev_pop({c}) END, 6) AS std FROM lineitem" for c in _MEASURES)
+    cuts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, i AS place, round(quantile_cont({c}, {0.05 + 0.9 * i / 14!r}), 6) AS threshold FROM lineitem, (SELECT {i}::INT AS i) GROUP BY i" for c in _MEASURES for i in range(15)
+    )
+    predicted = "WITH r AS (SELECT l_returnflag AS y, CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END AS p FROM lineitem) "
     return {
         "byte_histogram": _BYTES + "SELECT id, byte, n, round(p, 9) AS p FROM q",
         "byte_entropy": _BYTES + """SELECT id, round(-sum(p * log2(p)), 6) AS entropy, round(sum(CASE WHEN byte = 0 THEN p ELSE 0.0 END), 6)::DOUBLE AS zero_frac,
@@ -56,4 +95,16 @@ FROM (SELECT id, abs(byte - lag(byte) OVER (PARTITION BY id ORDER BY pos)) AS d
 WHERE place <= 200""",
         "train_test_split": """SELECT id, source, place <= CASE WHEN n <= 1 THEN 0 ELSE least(n - 1, greatest(1, n // 5)) END AS test
 FROM (SELECT doc_id AS id, source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents)""",
+        "label_space": "SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS y FROM (SELECT DISTINCT l_returnflag AS label FROM lineitem WHERE l_returnflag IS NOT NULL)",
+        "class_weights": """WITH c AS (SELECT l_returnflag AS label, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1),
+w AS (SELECT label, n, pow((SELECT avg(n) FROM c) / n, 0.15) AS w FROM c) SELECT label, n, round(w / (SELECT avg(w) FROM w), 6) AS weight FROM w""",
+        "column_stats": stats,
+        "quantile_thresholds": cuts,
+        "accuracy": predicted + "SELECT count(*) AS n, round(avg((y = p)::INT), 6) AS accuracy FROM r",
+        "macro_f1": predicted + """, l AS (SELECT y AS k FROM r UNION SELECT p FROM r)
+SELECT round(avg(f), 6) AS macro_f1 FROM (SELECT k, 2 * (SELECT count(*) FROM r WHERE y = k AND p = k) / ((SELECT count(*) FROM r WHERE y = k) + (SELECT count(*) FROM r WHERE p = k)) AS f FROM l)""",
+        "page_names": """SELECT page_id, replace(replace(lower(url), '_', '-'), ' ', '-') AS dataset, CASE WHEN instr(url, '/') = 0 THEN '(flat)' ELSE split_part(url, '/', 1) END AS folder,
+regexp_extract(split_part(url, '/', -1), '^[^.]*(\\..*)?$', 1) AS suffix FROM pages""",
+        "varint_sizes": """SELECT o_orderkey, z AS zigzag, CASE WHEN z = 0 THEN 1 ELSE ceil(length(bin(z)) / 7)::INT END AS bytes
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey < o_custkey THEN -2 * (o_orderkey - o_custkey) - 1 ELSE 2 * (o_orderkey - o_custkey) END AS z FROM orders)""",
     }
