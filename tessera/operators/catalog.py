@@ -64,7 +64,7 @@ def queries() -> dict:
         "macro_f1": lambda s, d: _rounded(learning.macro_f1(_predicted(s, d), "y", "p"), "macro_f1"),
         "page_names": _page_names,
         "varint_sizes": _varints,
-        "best_pipeline": lambda s, d: sweep.best(sweep.sweep(_slices(s, d))),
+        "best_pipeline": lambda s, d: sweep.best(sweep.sweep(_slices(s, d), sweep.REFERENCE_FILTERS, sweep.REFERENCE_CODECS)),
     }
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.operators import bytes as b
-from tessera.operators import sampling, sweep
+from tessera.operators import catalog, sampling, sweep
 from tessera.operators import coding
 from tessera.operators.filters import ALL, front_coding, packbits
 
@@ -58,3 +58,19 @@ def test_split_keeps_one_for_training(spark):
     rows = spark.createDataFrame([(i, "a" if i else "b") for i in range(11)], "id long, source string")
     out = sampling.split(rows, "source").collect()
     assert sum(r.test for r in out if r.source == "a") == 2 and not any(r.test for r in out if r.source == "b")
+
+
+def test_best_pipeline_sweeps_the_whole_reference(spark, tmp_path):
+    listed = sweep.names(sweep.REFERENCE_FILTERS, sweep.REFERENCE_CODECS)
+    assert len(set(listed)) == 420 and listed[0] == "zlib" and listed[20] == "shuffle->zlib" and set(ALL) < set(sweep.REFERENCE_FILTERS) and {*sweep.CODECS, *sweep.MISSING} == set(sweep.REFERENCE_CODECS)
+    texts = ["", "abcd" * 2, "one two three " * 9, "aaaabbbb" * 40, "".join(chr(48 + i * i % 77) for i in range(401)), None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sweep.sweep(b.slices(docs), sweep.REFERENCE_FILTERS, sweep.REFERENCE_CODECS).collect()
+    assert len(rows) == 420 * len(texts) and all((r.reason is None) == r.ok for r in rows)
+    assert {r.pipeline for r in rows if r.reason and "available" in r.reason} == {x for x in listed if {*x.split("->")} & {*sweep.MISSING, *sweep.MISSING_FILTERS}}
+    got = {r.id: r for r in catalog.queries()["best_pipeline"](spark, str(tmp_path)).collect()}
+    for i in range(len(texts)):
+        want = max((r for r in rows if r.ok and r.id == i), key=lambda r: (r.ratio, -r.ordinal))
+        assert (got[i].best_pipeline, got[i].best_ratio) == (want.pipeline, want.ratio)
+    assert got[2].best_pipeline.split("->")[-1] not in sweep.DEFAULT
