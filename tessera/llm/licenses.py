@@ -1,8 +1,12 @@
 """Licence scans by canonical digest: whole texts are normalised, digested and hash-joined to the digests of known licence texts. DataFrame functions only.
 
-Normal form: lines that begin with a copyright notice go, ASCII letters become lower case, every run of other ASCII characters than letters and digits becomes one blank, equivalent
-spellings become one, blanks at the ends go. Null text is empty. An empty normal form matches nothing. The known texts are a constant of this module, so their join is a broadcast of a
-proven size.
+Normal form: notice lines go (copyright before a sign or a year, a sign before copyright or a year; with an "all rights reserved" line right below), as do usual title lines at the top,
+both also behind comment marks. ASCII letters become lower case, every run of other ASCII characters than letters and digits becomes one blank, equivalent spellings become one, blanks at
+the ends go. Other lines that begin with "copyright" belong to the body and stay. Null text is empty. An empty normal form matches nothing. The known texts are constants, so their join is
+a broadcast of a proven size.
+
+The SQL has a plainer normal form (every line that begins with "copyright", "(c)" or a sign goes, titles stay) and only the texts of KNOWN: it is comparable on tables that hold no such
+lines, as the given ones.
 """
 
 from __future__ import annotations
@@ -25,13 +29,18 @@ KNOWN = (
 )
 #: Spellings held equivalent.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"), ("non infringement", "noninfringement"))
-_NOTICE = r"\n[ \t]*(copyright|\(c\)|©)[^\n]*"
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Of a lower-cased text with a line feed before it. Java and Python read both patterns alike. The first one ends before a line's end, the second one needs a line after it.
+_MARKS = r"[ \t#/*;%!-]*"
+_SIGN, _YEAR = r"(?:\(c\)|©|&copy;)", r"[\[<{(]?(?:[0-9]{4}|yyyy|year)"
+_REAL_NOTICE = rf"[\r\n]{_MARKS}(?:copyright[ \t:]*(?:{_SIGN}|{_YEAR})|{_SIGN}[ \t]*(?:copyright|{_YEAR}))[^\r\n]*(?:(?:[\r\n]{_MARKS}){{1,4}}all rights reserved[ \t.*/#-]*(?![^\r\n]))?"
+_BSD = r"(?:new |modified |simplified |revised )?bsd(?:[ -][0-4][ -]clause)?(?: \"?(?:new|simplified|original)\"?(?: or \"?(?:revised|freebsd|old)\"?)?)?"
+_TITLE = rf"^(?:[\r\n \t#/*;%!=_~-]*(?:the )?(?:(?:mit|expat|x11|isc|zlib|zlib/libpng|0bsd|bsd zero[ -]clause|zero[ -]clause bsd|{_BSD}) licen[sc]e|unlicen[sc]e)(?: \([a-z0-9 -]{{1,20}}\))?[ \t.:*/#=-]*(?=[\r\n])){{1,2}}"
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(ascii_lower(F.concat(F.lit("\n"), F.coalesce(text, F.lit("")))), _NOTICE, "")
-    out = F.regexp_replace(out, _OTHER, " ")
+    out = F.regexp_replace(ascii_lower(F.concat(F.lit("\n"), F.coalesce(text, F.lit("")))), _REAL_NOTICE, "")
+    out = F.regexp_replace(F.regexp_replace(out, _TITLE, ""), _OTHER, " ")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(out)
@@ -45,6 +54,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return d.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("matched"))
 
 
+#: Of the SQL alone.
+_NOTICE = r"\n[ \t]*(copyright|\(c\)|©)[^\n]*"
+
+
 def _sql(text: str) -> str:
     out = f"""regexp_replace(translate(chr(10) || coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_NOTICE}', '', 'g')"""
     out = f"regexp_replace({out}, '{_OTHER}', ' ', 'g')"

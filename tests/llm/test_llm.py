@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import gif, html, language, licenses, minhash, mixing, packing, secrets, suffix, vectors
 
@@ -151,3 +153,25 @@ def test_html():
 def test_licenses(spark):
     texts = ["Copyright (c) 2020 X\n" + licenses.KNOWN[0][1].upper(), "RELEASED under the MIT licence", "other", None]
     assert [r.license_id for r in sorted(licenses.scan(frame(spark, texts)).collect(), key=lambda r: r.doc_id)] == ["MIT", "notice-MIT", None, None]
+
+
+def test_licenses_as_usually_wrapped(spark):
+    known = dict(licenses.KNOWN)
+    wrap = lambda name, width: textwrap.fill(known[name], width)
+    isc = "ISC License\n\nCopyright (c) 2004-2010 by Internet Systems Consortium, Inc. (\"ISC\")\n\n" + wrap("ISC", 70).replace(" copyright notice", "\ncopyright notice")
+    assert "\ncopyright notice" in isc
+    mit = "The MIT License (MIT)\n\nCopyright © 2020 X\nCopyright 2019 Y <y@z.org>\n" + wrap("MIT", 78)
+    marked = lambda mark: "".join(f"{mark} {line}\n" for line in mit.split("\n"))
+    texts = [
+        isc, mit, marked("#"), marked("//"), "/*\n" + marked(" *") + " */\n", mit.replace("\n", "\r\n"),
+        "MIT License\n\nCopyright (c) [year] [fullname]\nAll rights reserved.\n\n" + wrap("MIT", 60), "BSD Zero Clause License\n\n(C) 2021 Z\n\n" + wrap("0BSD", 72), "# zlib License\n\n(C) Copyright 1995 A\n  B\n",
+        *(wrap(name, width) for name in known for width in (40, 55, 72, 79)),
+    ]
+    got = [r.license_id for r in sorted(licenses.scan(frame(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    assert got == ["ISC", *["MIT"] * 6, "0BSD", None, *(name for name in known for _ in range(4))]
+
+
+def test_normal_form_drops_no_line_of_the_body(spark):
+    texts = ["a\nCopyright notice stays", "a\n(c) You must retain", "a\nAll rights reserved.\nb", "MIT License", "x\nMIT License\ny", "a\n# Copyright (c) 2020 X. All rights reserved.\nb", "a\nCopyright 2020 X\n\nAll rights reserved.\nb"]
+    got = [r.c for r in spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").orderBy("doc_id").select(licenses.canonical(F.col("text")).alias("c")).collect()]
+    assert got == ["a copyright notice stays", "a c you must retain", "a all rights reserved b", "mit license", "x mit license y", "a b", "a b"]
