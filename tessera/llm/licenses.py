@@ -11,6 +11,11 @@ lines, as the given ones.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ KNOWN = (
     ("notice-GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("notice-CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+#: Whole texts of more licences, <license_id>.txt each.
+TEXTS = Path(__file__).with_name("license_texts")
 #: Spellings held equivalent.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"), ("non infringement", "noninfringement"))
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,12 +53,44 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+def normal(text: str) -> str:
+    """What `canonical` gives, for the known texts."""
+    out = ("\n" + text).translate({c: c + 32 for c in range(65, 91)})
+    for pattern, by in ((_REAL_NOTICE, ""), (_TITLE, ""), (_OTHER, " ")):
+        out = re.sub(pattern, by, out)
+    for a, b in SPELLINGS:
+        out = out.replace(a, b)
+    return out.strip(" ")
+
+
+def _forms(name: str, text: str) -> list[str]:
+    """The usual forms of a licence's file: without what follows the terms, with either scheme in addresses, BSD items without numbers and for the Regents."""
+    out = [text]
+    if "END OF TERMS AND CONDITIONS" in text:
+        terms = text.split("END OF TERMS AND CONDITIONS")[0]
+        out += [terms, terms + "END OF TERMS AND CONDITIONS"]
+    if name.startswith("BSD-"):
+        out += [x.replace("the copyright holder nor", "the University nor").replace("COPYRIGHT HOLDERS", "REGENTS").replace("COPYRIGHT HOLDER", "REGENTS") for x in out]
+        out += [re.sub(r"(?m)^\s*[0-9]\. ", "* ", x) for x in out]
+    return [x for y in out for x in (y, y.replace("https://", "http://"), y.replace("http://", "https://"))]
+
+
+@lru_cache(maxsize=1)
+def known() -> dict[str, str]:
+    """Digest to license_id of every known text and form; ids in order, the first one wins."""
+    out: dict[str, str] = {}
+    for name, text in [*KNOWN, *((p.stem, p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt")))]:
+        for form in _forms(name, text):
+            out.setdefault(hashlib.sha256(normal(form).encode()).hexdigest(), name)
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, digest (of the normal form), license_id (null if not known), matched."""
-    rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in KNOWN])
-    known = docs.sparkSession.range(1).select(F.explode(rows).alias("k")).select("k.license_id", F.sha2(canonical(F.col("k.text")), 256).alias("digest"))
+    rows = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license_id")) for d, i in known().items()])
+    table = docs.sparkSession.range(1).select(F.explode(rows).alias("k")).select("k.license_id", "k.digest")
     d = pick(docs, "doc_id", "text").select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return d.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("matched"))
+    return d.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("matched"))
 
 
 #: Of the SQL alone.

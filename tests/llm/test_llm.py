@@ -175,3 +175,15 @@ def test_normal_form_drops_no_line_of_the_body(spark):
     texts = ["a\nCopyright notice stays", "a\n(c) You must retain", "a\nAll rights reserved.\nb", "MIT License", "x\nMIT License\ny", "a\n# Copyright (c) 2020 X. All rights reserved.\nb", "a\nCopyright 2020 X\n\nAll rights reserved.\nb"]
     got = [r.c for r in spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").orderBy("doc_id").select(licenses.canonical(F.col("text")).alias("c")).collect()]
     assert got == ["a copyright notice stays", "a c you must retain", "a all rights reserved b", "mit license", "x mit license y", "a b", "a b"]
+
+
+def test_whole_license_files_are_known(spark):
+    files = {p.stem: p.read_text("utf-8") for p in licenses.TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(files)
+    texts = [(n, t) for n, t in [*licenses.KNOWN, *files.items()]]
+    texts += [("Apache-2.0", files["Apache-2.0"].split("   APPENDIX")[0].replace("\n", "\r\n")), ("GPL-3.0", files["GPL-3.0"].replace("https:", "http:")), ("Unlicense", "The Unlicense\n\n" + files["Unlicense"])]
+    bsd = "BSD 2-Clause License\n\nCopyright 2020 X\nAll rights reserved.\n\n" + files["BSD-2-Clause"].split("reserved.")[1]
+    texts += [("BSD-2-Clause", bsd), ("BSD-2-Clause", bsd.replace("1.", " * ").replace("2. R", " * R")), (None, files["GPL-3.0"][:9000]), (None, files["MPL-2.0"] + " and more")]
+    rows = sorted(licenses.scan(frame(spark, [t for _, t in texts])).collect(), key=lambda r: r.doc_id)
+    assert [r.license_id for r in rows] == [n for n, _ in texts]
+    assert [r.digest for r in rows] == [hashlib.sha256(licenses.normal(t).encode()).hexdigest() for _, t in texts]
