@@ -9,44 +9,56 @@ from tessera.llm import language, minhash, mixing, packing, secrets
 from tessera.llm.common import WORD, map_text, materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Tells the rows of a table apart, whatever their doc_id: from the first stage to the mix, where rows multiply.
+ROW = "row"
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """With a row number; a table that has none yet is written first, as numbers would change when it is read twice."""
+    return docs if ROW in docs.columns else materialize(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; `lang` becomes the predicted one where it was null."""
-    found = language.identify(docs, language.learn(docs)).where("lang_pred != 'und'").dropDuplicates(["doc_id"]).select("doc_id", "lang_pred")
-    return docs.join(found, "doc_id").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    """Documents whose text has a language; `lang` becomes the predicted one where it was null. Each row is decided by itself, also one with a null or repeated doc_id."""
+    found = language.identify(docs, language.learn(docs), keep=("text", "lang", "source", "n_chars")).where("lang_pred != 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return _chosen(docs, minhash.near(docs).where("kept").select("doc_id")).dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates, that of the smallest doc_id, a null one being the last. Rows are told apart by number: those that share a doc_id, or have none, go only
+    if another row has nearly the same text."""
+    docs = _numbered(docs)
+    groups = minhash.near(docs.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
+    kept = groups.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("f")).select(F.col(f"f.{ROW}").alias(ROW))
+    return docs.join(kept, ROW, "left_semi").select(*COLUMNS, ROW)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets found are masked in place; no document goes."""
     import pyarrow as pa
 
+    rest = [c for c in ("lang", "source", ROW) if c in docs.columns]
+
     def run(batch: pa.RecordBatch):
         texts = [None if t is None else secrets.masked(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3)], names=["doc_id", "text", "lang", "source"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], names=["doc_id", "text", *rest])
 
-    out = map_text(docs.select("doc_id", "text", "lang", "source"), "text", run, "doc_id long, text string, lang string, source string")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    schema = ", ".join(["doc_id long, text string", *(f"{c} {'long' if c == ROW else 'string'}" for c in rest)])
+    out = map_text(docs.select("doc_id", "text", *rest), "text", run, schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, *rest[2:])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; of one taken in part, its first words."""
-    plan = mixing.mix(docs).select("doc_id", "size", "reps", "part")
+    """Each row as often as the mix takes it, by its number; of one taken in part, its first words."""
+    docs = _numbered(docs)
+    plan = mixing.mix(docs, keep=(ROW,)).select(ROW, "size", "reps", "part")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("part").cast("int")), " ")
     rows = F.concat(
         F.array_repeat(F.col("text"), F.col("reps").cast("int")),
         F.when(F.col("part") == 0, F.array().cast("array<string>")).when(F.col("part") == F.col("size"), F.array("text")).otherwise(F.array(first)),
     )
-    out = docs.join(plan, "doc_id").select("doc_id", F.explode(rows).alias("text"), "lang", "source")
+    out = docs.join(plan, ROW).select("doc_id", F.explode(rows).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -9,7 +9,7 @@ code point wins; equal texts get equal results; an empty table gives no rows. A
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -94,17 +94,20 @@ class Profiles:
         return found, 1.0 - best / (self.top * len(mine))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
-    """(doc_id, text) to doc_id, lang_pred, score."""
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text) to doc_id, lang_pred, score, and the columns to keep, row by row."""
     model = Profiles(profiles, top)
-    d = pick(docs, "doc_id", "text")
+    d = pick(docs, "doc_id", "text", *(n for n in keep if n != "text"))
+    at = [d.columns.index(n) for n in keep]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [model.predict(t.as_py()) for t in batch.column(1)]
-        schema = pa.schema([("doc_id", batch.schema.field(0).type), ("lang_pred", pa.string()), ("score", pa.float64())])
-        yield as_batch([batch.column(0), [f[0] for f in found], [f[1] for f in found]], schema)
+        kept = [(n, batch.schema.field(i).type) for n, i in zip(keep, at)]
+        schema = pa.schema([("doc_id", batch.schema.field(0).type), ("lang_pred", pa.string()), ("score", pa.float64()), *kept])
+        yield as_batch([batch.column(0), [f[0] for f in found], [f[1] for f in found], *(batch.column(i) for i in at)], schema)
 
-    return map_text(d, "text", run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    kinds = [f"{n} {d.schema[n].dataType.simpleString()}" for n in keep]
+    return map_text(d, "text", run, ", ".join([f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double", *kinds]))
 
 
 def remainder(docs: DataFrame):

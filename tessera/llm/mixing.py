@@ -43,11 +43,13 @@ def plan(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, and whole and part, the words taken by whole repetitions and by the fractional one."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken, and whole and part, the words taken by whole repetitions and by the fractional one; and the columns to keep, which
+    order rows that tie otherwise."""
     sized = materialize(
-        pick(docs, "doc_id", "text", "source").select(
+        pick(docs, "doc_id", "text", "source", *keep).select(
             "doc_id",
+            *keep,
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             "source",
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"),
@@ -60,7 +62,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     targets = plan(ranges.groupBy("skey", "source").agg(F.sum("range_size").alias("source_size")), weights, share, epochs)
     before = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bounds = ranges.select("skey", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start")).join(targets, "skey")
-    earlier = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     started = rows.withColumn("started", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.round(F.col("target") - F.col("reps") * F.col("source_size")).cast("long")
@@ -68,7 +70,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         started.join(bounds, ["skey", "range"])
         .withColumn("reps", whole)
         .withColumn("part", F.greatest(F.lit(0), F.least("size", rest - F.col("range_start") - F.col("started"))))
-        .select("doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size") + F.col("part")).alias("taken"), "source", "reps", "part")
+        .select("doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size") + F.col("part")).alias("taken"), "source", "reps", "part", *keep)
     )
 
 
