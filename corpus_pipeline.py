@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, minhash, mixing, packing, secrets
-from tessera.llm.common import WORD, map_text, materialize, read
+from tessera.llm.common import map_text, materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Tells the rows of a table apart, whatever their doc_id: from the first stage to the mix, where rows multiply.
@@ -50,14 +50,11 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, by its number; of one taken in part, its first words."""
+    """Each row as often as the mix takes it, by its number; the one row of a source that the mix takes in part comes whole once more or not, whichever is nearer to the target."""
     docs = _numbered(docs)
     plan = mixing.mix(docs, keep=(ROW,)).select(ROW, "size", "reps", "part")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("part").cast("int")), " ")
-    rows = F.concat(
-        F.array_repeat(F.col("text"), F.col("reps").cast("int")),
-        F.when(F.col("part") == 0, F.array().cast("array<string>")).when(F.col("part") == F.col("size"), F.array("text")).otherwise(F.array(first)),
-    )
+    again = ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("int")
+    rows = F.array_repeat(F.col("text"), F.col("reps").cast("int") + again)
     out = docs.join(plan, ROW).select("doc_id", F.explode(rows).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -56,3 +56,17 @@ def test_all_stages_in_turn(spark, texts, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
     assert pairs(docs) == Counter(texts)
     assert set(pairs(p.mix_sources(spark, docs, ""))) >= set(texts)
+
+
+def test_mix_gives_whole_texts(spark, texts):
+    """The border row of each source is whole or left, whichever is nearer to the target."""
+    rows = [(i, t.replace(" ", "\n  ", 20)) for i, (_, t) in enumerate(texts * 3)]
+    docs = table(spark, rows, "a").union(table(spark, [(100 + i, t) for i, t in rows[:5]], "b")).union(table(spark, [(200, rows[0][1])], "c"))
+    want = Counter()
+    for r in p.mixing.mix(docs).collect():
+        want[r.doc_id] = r.reps + (0 < r.size <= 2 * r.part)
+    plan = [r for r in p.mixing.mix(docs).collect() if 0 < r.part < r.size]
+    assert plan
+    known = dict(rows) | {100 + i: t for i, t in rows[:5]} | {200: rows[0][1]}
+    got = pairs(p.mix_sources(spark, docs, ""))
+    assert all(known[i] == t for i, t in got) and {i: n for (i, _), n in got.items()} == {i: n for i, n in want.items() if n}
