@@ -187,3 +187,15 @@ def test_whole_license_files_are_known(spark):
     rows = sorted(licenses.scan(frame(spark, [t for _, t in texts])).collect(), key=lambda r: r.doc_id)
     assert [r.license_id for r in rows] == [n for n, _ in texts]
     assert [r.digest for r in rows] == [hashlib.sha256(licenses.normal(t).encode()).hexdigest() for _, t in texts]
+
+
+def test_vectors_lose_no_planted_link(spark):
+    r = np.random.default_rng(7)
+    x, w = vectors.normalised(list(r.standard_normal((2000, 64)))), r.standard_normal((2000, 64))
+    w = vectors.normalised(list(w - (w * x).sum(axis=1, keepdims=True) * x))
+    c = np.concatenate([np.full(1000, 0.95 + 1e-8), r.uniform(0.95, 0.97, 1000)])[:, None]
+    y = c * x + np.sqrt(1 - c * c) * w
+    assert all((vectors.keys(x[i : i + 250]) == vectors.keys(y[i : i + 250])).any(axis=1).all() for i in range(0, 2000, 250))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x[:60], y[:60]]))]
+    got = {g.vec_id: g for g in vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i].n_links == 1 and got[i].component_id == i % 60 for i in range(120))
