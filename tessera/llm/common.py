@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +46,61 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing reads any more, and lets the driver drop the shuffle files of plans that are gone."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's garbage collector finds their plans dead; asked for between the steps of a long operator, as disk would fill up before memory does."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches sent to Python hold about `limit` bytes at most (one row at least) in the queries that run inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by their first `keys` columns; what is held is one batch and one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        for i in range(keys):
+            c = batch.column(i).to_numpy(zero_copy_only=False)
+            new[1:] |= c[1:] != c[:-1]
+        last = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        same = bool(held) and all(held[-1].column(i)[-1].equals(batch.column(i)[0]) for i in range(keys))
+        if held and not same:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _linked(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = materialize(_linked(large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m"))), "links")
+        last, now = now, materialize(_linked(large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m"))), "links")
+        discard(last)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -191,11 +192,53 @@ def test_whole_license_files_are_known(spark):
 
 def test_vectors_lose_no_planted_link(spark):
     r = np.random.default_rng(7)
-    x, w = vectors.normalised(list(r.standard_normal((2000, 64)))), r.standard_normal((2000, 64))
-    w = vectors.normalised(list(w - (w * x).sum(axis=1, keepdims=True) * x))
+    x, w = vectors.normalised(r.standard_normal((2000, 64))), r.standard_normal((2000, 64))
+    w = vectors.normalised(w - (w * x).sum(axis=1, keepdims=True) * x)
     c = np.concatenate([np.full(1000, 0.95 + 1e-8), r.uniform(0.95, 0.97, 1000)])[:, None]
     y = c * x + np.sqrt(1 - c * c) * w
     assert all((vectors.keys(x[i : i + 250]) == vectors.keys(y[i : i + 250])).any(axis=1).all() for i in range(0, 2000, 250))
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x[:60], y[:60]]))]
     got = {g.vec_id: g for g in vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert all(got[i].n_links == 1 and got[i].component_id == i % 60 for i in range(120))
+
+
+def _brute_links(rows, least=0.95):
+    good = [(k, np.asarray(v, np.float64)) for k, (_, v) in enumerate(rows) if v and all(c is not None and np.isfinite(c) for c in v) and any(v) and rows[k][0] is not None]
+    n, comp = [0] * len(rows), [r[0] for r in rows]
+    near = [[] for _ in rows]
+    for a, (i, x) in enumerate(good):
+        for j, y in good[:a]:
+            if len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= least:
+                n[i] += 1
+                n[j] += 1
+                near[i].append(j)
+                near[j].append(i)
+    todo = True
+    while todo:
+        todo = False
+        for i, of in enumerate(near):
+            low = min([comp[i], *(comp[j] for j in of)]) if of else comp[i]
+            todo |= low != comp[i]
+            comp[i] = low
+    return Counter((r[0], a, b) for r, a, b in zip(rows, n, comp))
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_vectors_against_all_pairs(spark, monkeypatch, block):
+    """A hot bucket over several blocks, chains, copies, two lengths, repeated and null ids, broken vectors."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    r = np.random.default_rng(5)
+    centre = r.standard_normal((6, 24))
+    x = [centre[k % 6] + r.normal(0, s, 24) for s in (0.02, 0.15, 0.25) for k in range(60)]
+    x += [centre[0]] * 5 + list(r.standard_normal((50, 24))) + list(r.standard_normal((5, 8))) + [np.ones(8) + r.normal(0, 0.05, 8) for _ in range(5)]
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(r.permutation(len(x)), x)]
+    rows += [(3, rows[0][1]), (3, rows[40][1]), (None, rows[1][1]), (900, None), (901, []), (902, [0.0] * 24), (903, [None] * 24), (904, [float("inf")] * 24)]
+    d = spark.createDataFrame([(i, v, "a", "b") for i, v in rows], "vec_id long, embedding array<double>, label string, LABEL string")
+    got = vectors.near(d).collect()
+    want = _brute_links(rows)
+    assert Counter((g.vec_id, g.n_links, g.component_id) for g in got) == want and sum(n for _, n, _ in want) > 1000
+    assert all(g.kept == (g.vec_id == g.component_id or g.vec_id is None) for g in got)
+
+
+def test_vectors_of_an_empty_table(spark):
+    assert vectors.near(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
