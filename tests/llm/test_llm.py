@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -242,3 +243,40 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block):
 
 def test_vectors_of_an_empty_table(spark):
     assert vectors.near(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def _plain_pieces(texts, length):
+    """(number of the text, piece, start, length, crc) by the tokenizer alone."""
+    coder, out = packing.coder(packing.default_path()).tokenizer, []
+    for i, t in enumerate(texts):
+        ids = [*coder.encode(t or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % length or min(length, len(ids))
+        ends = [first, *range(first + length, len(ids) + 1, length)]
+        for k, (a, b) in enumerate(zip([0, *ends], ends)):
+            out.append((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    return out
+
+
+@pytest.mark.parametrize("length", [2048, 64])
+def test_packing_against_the_tokenizer(spark, length):
+    r = random.Random(11)
+    alphabet = [*map(chr, range(32, 0x250)), *" \n\t'  \x0b\x0c\x85\xa0　 ᲀ\U0001f600中"] + list("abcde 12") * 40
+    texts = [None, "", " ", "a <|endoftext|> b", "x" * 5000, prose(3000, 12), "\x1c a\x1d"] + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 300))) for _ in range(150)]
+    texts += texts[:20]
+    got = packing.pack(frame(spark, texts), length=length).collect()
+    want = _plain_pieces(texts, length)
+    assert Counter((g.doc_id, g.piece, g.start, g.length, g.ids_crc32) for g in got) == Counter(want)
+    places = {}
+    for g in got:
+        places.setdefault(g.sequence_id, []).append((g.offset, g.length))
+    for p in places.values():
+        assert [a for a, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) <= length
+    total = sum(w[3] for w in want)
+    assert len(places) <= 1.03 * -(-total // length) + 1
+
+
+def test_packing_of_null_and_repeated_ids_and_an_empty_table(spark):
+    rows = [(i, t, "en", "s", 0, "x") for i, t in [(None, "a b"), (None, "a b"), (7, "c"), (7, "d e f"), (7, "c")]]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter(g.doc_id for g in got) == Counter([None, None, 7, 7, 7]) and len({(g.sequence_id, g.offset) for g in got}) == 5
+    assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
