@@ -2,8 +2,9 @@
 
 A text's set is its distinct word shingles. Texts of one set are one class (copies cost nothing further). A class has 128 minima of universal hashes (a*x + b mod 2^64) >> 32; 32 bands of
 4 make buckets, which a pair at the threshold of 0.85 shares with a probability over 1 - 1e-10. In a bucket each class is first tried against one centre (another one for each
-band); pairs whose signatures agree by at least the threshold less five standard errors are confirmed on the full sets, the best one of each class first. Links found are
-joined to components; what is in one component needs no more tries.
+band); pairs whose signatures (the last byte of each minimum) agree by at least the threshold less five standard errors are confirmed on the full sets, the best one of each class first.
+A centre's classes are dealt into parts that stream behind one copy of the centre. Links found are joined to components; what is in one component needs no more tries. Sets are never
+stored for this: they are taken again from the texts of the pairs to confirm.
 
 Classes of buckets whose components still differ go on to an exact search, so that no link is lost. Their shingles are ordered by how many of these classes have them; two sets at the
 threshold share a shingle among the first few of both, so a class whose first ones are all its own has no link and drops out. Classes meet under such a shingle and a range of set
@@ -11,8 +12,8 @@ sizes; a meeting of one component is dropped, a large one is dealt over pairs of
 returns a pair only under the first shingle it shares, and only if the bound reaches the threshold; those are confirmed on the full sets. What stays quadratic is computing that bound
 for unlinked classes that share a rare shingle.
 
-Cases: null, empty or blank text has an empty set and is its own component; ties go to the smaller id; rows that repeat a doc_id are each returned, with the smallest set digest
-winning in links of that id; a null doc_id has a null component and isn't linked; an empty table gives no rows.
+Cases: null, empty or blank text has an empty set and is its own component; ties go to the smaller id; rows that repeat a doc_id are documents of their own that share a name: each is linked by
+its own text and has the smallest doc_id that it reaches; a row without doc_id has a null component, is linked with nothing and kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_batch, map_text, materialize, pick
+from tessera.llm.common import as_batch, discard, free_shuffles, grouped, map_text, materialize, pick, small_batches
 from tessera.llm.graph import components
 
 BANDS, ROWS = 32, 4
 #: Shingles that a block's rows hold, about: bounds what one meeting holds in a task.
 BLOCK = 1 << 17
+#: Leaves that are tried against one copy of their hub, about.
+STAR = 256
 _rng = np.random.default_rng(4)
 #: h(x) = (a*x + b mod 2^64) >> 32 with random 64-bit a, b is strongly universal on 32-bit x.
 _A = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
@@ -70,43 +73,91 @@ def signature(values: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+def _signed(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Per row: number of shingles, digest of the set, the last byte of each minimum, and the bands' keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
     rows = []
     for text in batch.column(1):
         s = shingles(text.as_py(), size)
-        rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None))
-    yield as_batch([batch.column(0), *(zip(*rows) if rows else [[], []])], pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary())]))
+        if not len(s):
+            rows.append((0, None, None, None))
+            continue
+        sig = signature(s)
+        bands = [int.from_bytes(hashlib.blake2b(bytes([i]) + sig[ROWS * i : ROWS * i + ROWS].tobytes(), digest_size=8).digest(), "little", signed=True) for i in range(BANDS)]
+        rows.append((len(s), _digest(s), (sig & np.uint32(255)).astype(np.uint8).tobytes(), bands))
+    yield as_batch([batch.column(0), *(zip(*rows) if rows else [[]] * 4)], schema)
+
+
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def _bands(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("sig", pa.binary()), ("set", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+def _set_of(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """(id, k, digest, text) to (id, k, set); rows whose set has another digest are of other rows that repeat the id."""
     rows = []
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+    for id_, k, digest, text in zip(*batch.columns):
         s = shingles(text.as_py(), size)
-        sig = signature(s)
-        bands = [int.from_bytes(hashlib.blake2b(bytes([i]) + sig[ROWS * i : ROWS * i + ROWS].tobytes(), digest_size=8).digest(), "little", signed=True) for i in range(BANDS)]
-        rows.append((doc, sig.tobytes(), s.view(np.int64), bands))
-    yield as_batch([*zip(*rows)] if rows else [[]] * 4, schema)
+        if _digest(s) == digest.as_py():
+            rows.append((id_.as_py(), k.as_py(), s.view(np.int64)))
+    yield as_batch([*zip(*rows)] if rows else [[]] * 3, pa.schema([("id", pa.int64()), ("k", pa.int64()), ("set", pa.list_(pa.int64()))]))
 
 
-def _possible(batch: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of each block that may reach the threshold; a block's row has its shingle and a list of (id, component, set size, shingles of its own, is probe, first shared ones)."""
-    lists = batch.column(1)
-    at, rows = lists.offsets.to_numpy(), lists.values
-    *columns, firsts = (rows.field(i) for i in range(6))
-    ids, comps, sizes, alone, probe = (c.to_numpy(zero_copy_only=False) for c in columns)
+def _starred(rows: DataFrame, value, test, schema: str) -> DataFrame:
+    """Rows (hub, part, leaf, id, ...) of groups (hub, part): first that of the hub, whose leaf is null, then its leaves. `value` reads a row; `test` compares the hub's with a leaf's and gives
+    None or what is to be returned of the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            out = []
+            hubs, parts, leaves = (batch.column(i).to_pylist() for i in range(3))
+            columns = batch.columns[3:]
+            for i, (hub, part, leaf) in enumerate(zip(hubs, parts, leaves)):
+                mine = value(*(c[i] for c in columns))
+                if mine is None:
+                    continue
+                if leaf is None:
+                    at, held = (hub, part), mine
+                elif at == (hub, part) and (found := test(held, mine)) is not None:
+                    out.append((hub, leaf, *found))
+            names = [f.strip().split(" ") for f in schema.split(",")]
+            kinds = pa.schema([(n, pa.int64() if k == "long" else pa.float64()) for n, k in names])
+            yield as_batch([*zip(*out)] if out else [[]] * len(names), kinds)
+
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("leaf").isNotNull()).mapInArrow(run, schema)
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Pairs (hub, leaf) as rows (hub, part, leaf, id): a hub's leaves are dealt into parts of about STAR, and each part has one row of the hub's own."""
+    count = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    hubs = count.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("leaf"), F.col("hub").alias("id"))
+    leaves = pairs.join(count, "hub").select("hub", F.pmod(F.xxhash64("leaf"), "parts").cast("int").alias("part"), "leaf", F.col("leaf").alias("id"))
+    return hubs.union(leaves)
+
+
+def _possible(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of each group that may reach the threshold; rows are (key, range, a, b, id, component, set size, shingles of its own, is probe, first shared ones), groups are whole."""
+    table = table.combine_chunks()
+    key, *rest, ids, comps, sizes, alone, probe = (table.column(i).to_numpy() for i in range(9))
+    firsts = table.column(9).combine_chunks()
     ends, values = firsts.offsets.to_numpy(), firsts.values.to_numpy(zero_copy_only=False)
+    new = np.zeros(len(key), bool)
+    for c in (key, *rest):
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.concatenate([[0], np.flatnonzero(new), [len(key)]]) if len(key) else np.zeros(1, np.int64)
     out = []
-    for key, lo, hi in zip(batch.column(0).to_pylist(), at[:-1], at[1:]):
-        of = lo + np.flatnonzero(~probe[lo:hi])
+    for lo, hi in zip(starts[:-1], starts[1:]):
+        of, looks = lo + np.flatnonzero(~probe[lo:hi]), lo + np.flatnonzero(probe[lo:hi])
+        if not len(of) or not len(looks):
+            continue
         names, dense = np.unique(values[ends[lo] : ends[hi]], return_inverse=True)
         pieces = [dense[ends[i] - ends[lo] : ends[i + 1] - ends[lo]] for i in range(lo, hi)]
         held = np.concatenate([pieces[i - lo] for i in of])
         start = np.cumsum([0, *(len(pieces[i - lo]) for i in of)])[:-1]
         last = np.array([pieces[i - lo][-1] for i in of])
-        sooner = held < np.searchsorted(names, key)
+        sooner = held < np.searchsorted(names, key[lo])
         has = np.zeros(len(names), np.int32)
-        for i in lo + np.flatnonzero(probe[lo:hi]):
+        for i in looks:
             mine = pieces[i - lo]
             has[mine] = 1
             common = has[held]
@@ -152,77 +203,88 @@ def _meet(unclear: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.join(worth, ["key", "range"]).select("key", "range", "id", "probe", mine.alias("mine"), other.alias("other"))
     dealt = dealt.select("key", "range", F.when(F.col("probe"), F.col("mine")).otherwise(F.col("other")).alias("a"), F.when(F.col("probe"), F.col("other")).otherwise(F.col("mine")).alias("b"), "id", "probe")
-    full = dealt.join(sets.select("id", "k", "n", "alone", "firsts"), "id")
-    blocks = full.groupBy("key", "range", "a", "b").agg(F.collect_list(F.struct("id", "k", "n", "alone", "probe", "firsts")).alias("rows"))
-    blocks = blocks.where("exists(rows, r -> r.probe) and exists(rows, r -> not r.probe)").select("key", "rows")
+    order = ["key", "range", "a", "b"]
+    full = dealt.join(sets.select("id", "k", "n", "alone", "firsts"), "id").select(*order, "id", "k", "n", "alone", "probe", "firsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from _possible(batch, percent)
-
-    return blocks.mapInArrow(run, "u long, v long")
-
+        for table in grouped(batches, 4):
+            yield from _possible(table, percent)
 
-def _tried(pairs: DataFrame, classes: DataFrame, column: str, schema: str, test) -> DataFrame:
-    """Pairs (u, v) with `column` of both looked up and tested in Arrow batches."""
-    left = classes.select(F.col("id").alias("u"), F.col(column).alias("x"))
-    right = classes.select(F.col("id").alias("v"), F.col(column).alias("y"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "x", "v", "y")
-    return map_text(both, "x", test, schema)
+    found = full.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(run, "u long, v long")
+    with small_batches(unclear.sparkSession):
+        out = materialize(found.distinct(), "possible")
+    discard(sets)
+    return out
 
 
 def near(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union of shingles of `size` words."""
+    spark = docs.sparkSession
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bound = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
-    sets = materialize(map_text(d, "text", lambda b: _sets(b, size), "doc_id long, n_shingles long, digest binary"), "shingle-sets")
-    classes = materialize(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "set-classes")
-    chosen = d.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full = materialize(map_text(chosen, "text", lambda b: _bands(b, size), "id long, sig binary, set array<long>, bands array<long>", 1 << 20), "signatures")
-    keys = full.select("id", F.explode("bands").alias("band"))
+    signed = materialize(map_text(d, "text", lambda b: _signed(b, size), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>", 1 << 20), "signed")
+    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # A class has a number of its own, as rows may repeat a doc_id with other texts.
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "set-classes")
+    keys = classes.select("id", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "band"), "id")).alias("c")).where("n > 1").select("band", F.col("c.id").alias("centre"))
     members = materialize(keys.join(shared, "band"), "band-members")
+    free_shuffles(spark)
+
+    def agree(hub: np.ndarray, leaf: np.ndarray):
+        alike = float((hub == leaf).mean())
+        return (alike,) if alike >= bound else None
+
+    def read_set(digest: pa.Scalar, text: pa.Scalar):
+        s = shingles(text.as_py(), size)
+        return s if _digest(s) == digest.as_py() else None
+
+    def confirm(hub: np.ndarray, leaf: np.ndarray):
+        both = len(np.intersect1d(hub, leaf, assume_unique=True))
+        return () if 100 * both >= percent * (len(hub) + len(leaf) - both) else None
 
-    def agree(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (1, 3))
-            alike = (x == y).mean(axis=1)
-            ok = pa.array(alike >= bound)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(2).filter(ok), pa.array(alike).filter(ok)], names=["u", "v", "alike"])
-
-    def confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for u, x, v, y in zip(*batch.columns):
-            a, b = (z.values.to_numpy(zero_copy_only=False) for z in (x, y))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                rows.append((u.as_py(), v.as_py()))
-        yield as_batch([*zip(*rows)] if rows else [[], []], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    def with_texts(rows: DataFrame, *columns: str) -> DataFrame:
+        named = rows.join(classes.select("id", "least", "digest"), "id")
+        return named.join(d.withColumnRenamed("doc_id", "least"), "least").select(*columns, "digest", "text")
 
     def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs whose components differ."""
-        a, b = comp.toDF("u", "cu"), comp.toDF("v", "cv")
-        return pairs.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).drop("cu", "cv")
+        a, b = comp.toDF("hub", "cu"), comp.toDF("leaf", "cv")
+        return pairs.join(a, "hub", "left").join(b, "leaf", "left").where(F.coalesce("cu", "hub") != F.coalesce("cv", "leaf")).drop("cu", "cv")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return materialize(_tried(pairs.select("u", "v"), full, "set", "u long, v long", confirm), "confirmed")
-
-    stars = members.where("id != centre").select(F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")).distinct()
-    likely = materialize(_tried(stars, full, "sig", "u long, v long, alike double", agree), "likely")
-    best = likely.groupBy("u").agg(F.max(F.struct("alike", "v")).alias("b")).select("u", "b.v")
-    found = links(best)
-    comp = components(found)
-    found = found.union(links(apart(likely, comp)))
-    comp = components(found)
+        rows = with_texts(_stars(pairs.select("hub", "leaf")), "hub", "part", "leaf")
+        with small_batches(spark):
+            return materialize(_starred(rows, read_set, confirm, "u long, v long"), "confirmed")
+
+    stars = _stars(members.where("id != centre").select(F.col("centre").alias("hub"), F.col("id").alias("leaf")).distinct())
+    signatures = stars.join(classes.select("id", "sig"), "id").select("hub", "part", "leaf", "sig")
+    likely = materialize(_starred(signatures, lambda x: np.frombuffer(x.as_py(), np.uint8), agree, "hub long, leaf long, alike double"), "likely")
+    free_shuffles(spark)
+    # Of each class the best pair first: a class with its likeliest hub.
+    best = likely.groupBy("leaf").agg(F.max(F.struct("alike", "hub")).alias("b")).select(F.col("b.hub").alias("hub"), "leaf")
+    found = [links(best)]
+    comp = components(found[0])
+    found.append(links(apart(likely, comp)))
+    discard(likely)
+    comp = components(found[0].union(found[1]))
     placed = members.select("band", "id").join(comp.toDF("id", "k"), "id", "left").select("band", "id", F.coalesce("k", "id").alias("k"))
     several = placed.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")
-    unclear = materialize(placed.join(several, "band").select("id", "k").distinct(), "unclear").join(full.select("id", "set"), "id")
-    comp = components(found.union(links(materialize(_meet(unclear, percent), "possible").distinct())))
+    open_ = materialize(placed.join(several, "band").select("id", "k").distinct(), "open")
+    discard(members)
+    unclear = materialize(map_text(with_texts(open_, "id", "k"), "text", lambda b: _set_of(b, size), "id long, k long, set array<long>", 1 << 20).dropDuplicates(["id"]), "unclear")
+    possible = _meet(unclear, percent)
+    discard(unclear, open_)
+    found.append(links(possible.toDF("hub", "leaf")))
+    comp = components(found[0].union(found[1]).union(found[2]))
+    discard(*found)
     # The smallest document of a component is the smallest of its classes' smallest.
-    named = classes.join(comp.toDF("id", "component_id"), "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    joined = classes.select("digest", "least", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component_id", "id"))
+    first = joined.groupBy("component").agg(F.min("least").alias("first"))
+    named = joined.join(first, "component").select("digest", "first")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
     return (
-        sets.join(named, "digest", "left")
-        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+        .withColumn("component_id", component)
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )

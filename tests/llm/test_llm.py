@@ -280,3 +280,25 @@ def test_packing_of_null_and_repeated_ids_and_an_empty_table(spark):
     got = packing.pack(spark.createDataFrame(rows, SCHEMA)).collect()
     assert Counter(g.doc_id for g in got) == Counter([None, None, 7, 7, 7]) and len({(g.sequence_id, g.offset) for g in got}) == 5
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b = prose(80, 1), prose(80, 2)
+    rows = [(5, a), (5, b), (5, a + " end"), (3, b), (None, a), (None, a), (9, a), (9, a), (1, "two words"), (2, "TWO\twords"), (4, "one"), (None, None), (6, " \n")]
+    got = minhash.near(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, note string, NOTE string"), 3, 85).collect()
+    want = [(5, 78, 5), (5, 78, 3), (5, 79, 5), (3, 78, 3), (None, 78, None), (None, 78, None), (9, 78, 5), (9, 78, 5), (1, 1, 1), (2, 1, 1), (4, 1, 4), (None, 0, None), (6, 0, 6)]
+    assert Counter((g.doc_id, g.n_shingles, g.component_id) for g in got) == Counter(want)
+    assert all(g.kept == (g.doc_id == g.component_id) for g in got)
+    assert minhash.near(spark.createDataFrame([], "doc_id long, text string"), 3, 85).count() == 0
+
+
+@pytest.mark.parametrize("star", [8])
+def test_near_duplicates_of_one_hot_centre(spark, monkeypatch, star):
+    """A third of the rows are near copies of one text; each changes other words."""
+    monkeypatch.setattr(minhash, "STAR", star)
+    r = random.Random(4)
+    base = prose(120, 3).split()
+    texts = [" ".join("y%d" % r.randint(0, 9999) if k in at else w for k, w in enumerate(base)) for at in ({r.randint(0, 119) for _ in range(2)} for _ in range(120))]
+    texts += [prose(60, 100 + i) for i in range(200)]
+    got = minhash.near(frame(spark, texts), 3, 85).collect()
+    assert {g.component_id for g in got if g.doc_id < 120} == {0} and all(g.kept for g in got if g.doc_id >= 120)
