@@ -23,21 +23,46 @@ def prose(n, seed):
     return " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(2, 6))) for _ in range(n))
 
 
-def test_repeats_against_brute_force(spark):
-    shared = prose(60, 1)
-    texts = [None, "", "é" * 400, prose(300, 2), prose(40, 3) + shared + prose(50, 4), shared, shared, prose(9, 5) + shared + "ab" * 300, "é" * 400]
+def _plain_repeats(rows):
+    """(doc_id, bytes, removed, spans, digest) by looking at every 100-byte string in order of occurrence; a row's place among those of its doc_id is that of the digest of its text."""
     seen, want = set(), []
-    for t in texts:
+    distinct = {}
+    for i, t, sub in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2])):
         data = (t or "").encode()
-        gone = np.zeros(len(data), bool)
-        for i in range(len(data) - 99):
-            piece = data[i : i + 100]
-            if piece in seen:
-                gone[i : i + 100] = True
-            seen.add(piece)
-        want.append((len(data), int(gone.sum()), hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()))
-    got = sorted(suffix.dedup(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
-    assert [(r.n_bytes, r.n_removed, r.kept_sha256) for r in got] == want
+        if (i, t) not in distinct:
+            gone = np.zeros(len(data) + 1, bool)
+            for k in range(len(data) - 99):
+                piece = data[k : k + 100]
+                if piece in seen:
+                    gone[k : k + 100] = True
+                seen.add(piece)
+            left = np.frombuffer(data, np.uint8)[~gone[:-1]].tobytes()
+            spans = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0])
+            distinct[i, t] = (i, len(data), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
+        want.append(distinct[i, t])
+    return Counter(want)
+
+
+@pytest.mark.parametrize("part", [1, 4096])
+def test_repeats_against_brute_force(spark, monkeypatch, part):
+    """Boundaries, overlaps, periods, near copies, block borders, repeated and null ids."""
+    monkeypatch.setattr(suffix, "PART", part)
+    monkeypatch.setattr(suffix, "BLOCK", 700)
+    shared, r = prose(60, 1), random.Random(6)
+    texts = [None, "", "é" * 400, prose(300, 2), prose(40, 3) + shared + prose(50, 4), shared, shared, prose(9, 5) + shared + "ab" * 300, "é" * 400, "x" * 99, "x" * 100, "x" * 101]
+    for k in range(60):
+        words = shared.split()
+        words[r.randint(0, 59)] = "w%d" % k
+        texts.append(prose(r.randint(0, 40), 50 + k) + " ".join(words[: r.randint(20, 60)]) + prose(r.randint(0, 40), 200 + k))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "q" * 7), (None, texts[30]), (None, shared), (None, shared), (3, texts[40]), (3, texts[41]), (3, texts[3]), (70, texts[3])]
+    d = spark.createDataFrame([(i, t, "s", "S") for i, t in rows], "doc_id long, text string, note string, NOTE string")
+    subs = [x.s for x in d.select(F.xxhash64("text").alias("s")).collect()]
+    got = suffix.dedup(d).collect()
+    assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == _plain_repeats([(i, t, x) for (i, t), x in zip(rows, subs)])
+
+
+def test_repeats_of_an_empty_table(spark):
+    assert suffix.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_near_duplicates(spark):
