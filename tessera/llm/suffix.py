@@ -6,8 +6,8 @@ without a global sort, and each update is used again: depth 64 is (identifier, i
 Not every offset is shuffled. All strings whose least 32-gram (by identifier) is the same occurrence form one run, and equal strings have it at the same place, so a run's bucket stands for
 all its offsets. (1) Buckets with one member are dropped before anything else moves. (2) Members of the rest are split by the identifier of their whole run, taken from the depth-100
 identifiers of its two ends, which overlap: a run that occurs earlier is a repeat as a whole. (3) Only where a bucket still holds different runs, the first one of each is refined to its single
-offsets: their depth-100 identifiers are streamed in order of occurrence, and those seen before in the bucket are repeats. Buckets with many different runs are dealt into parts by identifier,
-so no task holds a hot one. Groupings take minima and counts with map-side combination; a hot passage is one row for each map task. What a step has read is deleted after it.
+offsets: their depth-100 identifiers are streamed in order of occurrence, and those seen before in the bucket are repeats. Buckets with many different runs are refined by a grouping on bucket
+and identifier in place of the stream, so no task holds a hot one. Groupings take minima and counts with map-side combination; a hot passage is one row for each map task. What a step has read is deleted after it.
 
 Two strings count as equal if their 64-bit identifiers are, within a bucket of equal 64-bit identifiers of 32 bytes.
 
@@ -30,7 +30,7 @@ from tessera.llm.common import as_batch, discard, free_shuffles, map_text, mater
 LENGTH = 100
 GRAM = 32
 LAST = (1 << 63) - 1
-#: Different runs of a bucket that one part refines, about.
+#: A bucket with more different runs is refined by a grouping on its offsets' identifiers, one with fewer in a worker.
 PART = 4096
 _rng = np.random.default_rng(20)
 _FIRST = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -93,7 +93,7 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 _RUNS = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("bucket", pa.int64()), ("a", pa.int64()), ("start", pa.int32()), ("n", pa.int16())])
-_OPEN = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("ids", pa.list_(pa.int64()))])
+_OPEN = pa.schema([("bucket", pa.int64()), ("hot", pa.bool_()), ("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("ids", pa.list_(pa.int64()))])
 _GONE = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
@@ -118,17 +118,16 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _open(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The identifiers of the single offsets of a document's runs; those of a bucket of several parts go each to its own."""
+    """The identifiers of the single offsets of a document's runs; those of a hot bucket are rows of their own."""
     for doc, sub, text, reps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
         data, out = _bytes(text.as_py()), []
         for r in reps.as_py():
             s, n = r["start"], r["n"]
             ids = identifiers(grams(data[s : s + n + LENGTH - 1])).view(np.int64)
-            if r["parts"] == 1:
-                out.append((r["bucket"], 0, doc, sub, s, ids))
+            if r["hot"]:
+                out += [(r["bucket"], True, doc, sub, s + k, ids[k : k + 1]) for k in range(n)]
             else:
-                part = (ids.view(np.uint64) % np.uint64(r["parts"])).astype(int).tolist()
-                out += [(r["bucket"], p, doc, sub, s + k, ids[k : k + 1]) for k, p in enumerate(part)]
+                out.append((r["bucket"], False, doc, sub, s, ids))
             if len(out) >= 8192:
                 yield as_batch([*zip(*out)], _OPEN)
                 out = []
@@ -137,7 +136,7 @@ def _open(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket, part and occurrence: the offsets whose identifier came before in the bucket, as stretches. What is held is one batch and the identifiers of one part."""
+    """Of rows sorted by bucket and occurrence: the offsets whose identifier came before in the bucket, as stretches. What is held is one batch and the identifiers of one bucket."""
     at, known, last = None, set(), None
     for batch in batches:
         keys = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
@@ -148,8 +147,8 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key == last:
                 continue
             last = key
-            if key[:2] != at:
-                at, known = key[:2], set()
+            if key[0] != at:
+                at, known = key[0], set()
             ids = values[lo:hi].tolist()
             again = [False, *(x in known for x in ids), False]
             known.update(ids)
@@ -206,16 +205,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     whole = materialize(found.join(first.where("c > 1").select(*keys, "first"), keys).where(where > F.col("first")).select("doc", "sub", "start", F.col("n").cast("int").alias("n")), "repeat-whole")
     discard(found)
-    mixed = first.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "parts")
-    reps = first.join(mixed, "bucket").select("first.doc", "first.sub", F.struct("first.start", F.col("n").cast("int").alias("n"), "bucket", "parts").alias("r"))
+    mixed = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", (F.col("k") > PART).alias("hot"))
+    reps = first.join(mixed, "bucket").select("first.doc", "first.sub", F.struct("first.start", F.col("n").cast("int").alias("n"), "bucket", "hot").alias("r"))
     reps = reps.groupBy("doc", "sub").agg(F.collect_list("r").alias("reps"))
-    opened = map_text(long_.join(reps, ["doc", "sub"]), "text", _open, "bucket long, part int, doc long, sub long, start int, ids array<long>", 1 << 20)
-    order = ["bucket", "part"]
-    single = opened.repartition(*order).sortWithinPartitions(*order, "doc", "sub", "start").mapInArrow(_seen, "doc long, sub long, start int, n int")
+    opened = map_text(long_.join(reps, ["doc", "sub"]), "text", _open, "bucket long, hot boolean, doc long, sub long, start int, ids array<long>", 1 << 20)
+    opened = materialize(opened, "repeat-open")
+    cold = opened.where("not hot").repartition("bucket").sortWithinPartitions("bucket", "doc", "sub", "start").mapInArrow(_seen, "doc long, sub long, start int, n int")
     with small_batches(spark):
-        single = materialize(single, "repeat-single")
-    discard(first)
-    gone = whole.union(single).groupBy("doc", "sub").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
+        single = materialize(cold, "repeat-single")
+    each = opened.where("hot").select("bucket", F.col("ids")[0].alias("id"), "doc", "sub", "start")
+    least = each.groupBy("bucket", "id").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    hot = materialize(each.join(least, ["bucket", "id"]).where(where > F.col("first")).select("doc", "sub", "start", F.lit(1).alias("n")), "repeat-hot")
+    discard(first, opened)
+    gone = whole.union(single).union(hot).groupBy("doc", "sub").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     return map_text(
         d.join(gone, ["doc", "sub"], "left").select("doc_id", "text", "starts", "counts"), "text", _clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
