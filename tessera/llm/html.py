@@ -2,15 +2,18 @@
 
 A page is cut into leaf blocks (text between block-level tags). Each has features of its ancestors (tags, kinds of class and id words) and of its text (length, link share,
 punctuation, marks of copyright); a two-state chain (main, other) is trained by exact gradients from forward-backward on labelled pages that `labelled_pages` lays out from a seed, and
-decoded by Viterbi. Scripts, styles, forms and other elements without prose never become blocks.
+decoded by Viterbi. Scripts, styles, forms and other elements without prose never become blocks; a form that wraps a page's content (an article, a main part, a first heading or three
+paragraphs) is no form in this sense.
 
-Cases: null or empty html gives an empty text; broken, unclosed and deeply nested markup is parsed as far as it goes; text after the last tag is kept as a block; equal pages get
-equal results; nothing is cut; an empty table gives no rows.
+Cases: null or empty html gives an empty text; broken, unclosed and deeply nested markup is parsed as far as it goes, in one pass: a tag without an end is text, a head without an end
+ends at the first element that can't be in it; text after the last tag is kept as a block; repeated rows and equal pages get equal results; a null page_id or url is returned as it is;
+nothing is cut; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -24,7 +27,7 @@ from tessera.llm.common import as_batch, map_text, pick
 #: Kinds of HTML elements.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("audio button canvas datalist form head iframe noframes noscript object optgroup option select svg template video".split())
+SILENT = frozenset("audio button canvas datalist head iframe noframes noscript object optgroup option select svg template video".split())
 RAW = ("script", "style", "textarea", "title", "xmp")
 #: Words of class and id names by the kind of block they tell.
 KINDS = {
@@ -39,7 +42,12 @@ KINDS = {
     "main": "article content post entry main story text prose",
 }
 KIND = {w: k for k, words in KINDS.items() for w in words.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_OPEN = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+_STOP = re.compile("[<>\"']")
+_END = re.compile("[<>]")
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Fixed value: what may stand in a head; the first other element ends it.
+HEAD = frozenset("base head link meta noscript script style template title".split())
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SAME = frozenset("p li dt dd tr td th option".split())
@@ -49,15 +57,87 @@ _LISTS = frozenset("ul ol dl table div section article body".split())
 class Block:
     __slots__ = ("text", "tags", "kinds", "linked")
 
-    def __init__(self, text: str, tags: tuple[str, ...], kinds: frozenset[str], linked: int) -> None:
+    def __init__(self, text: str, tags: frozenset[str], kinds: frozenset[str], linked: int) -> None:
         self.text, self.tags, self.kinds, self.linked = text, tags, kinds, linked
 
 
+def tags(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closes, attributes) of tags in one pass; comments, declarations, and elements of raw text with their content have no name. A tag that has no end before the next < is
+    text; a quote that is never closed is a character like others."""
+    out, at, size = [], 0, len(page)
+    never: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        if what in never:
+            return -1
+        if (i := page.find(what, start)) < 0:
+            never.add(what)
+        return i
+
+    while (lt := page.find("<", at)) >= 0:
+        at = lt + 1
+        if page.startswith("<!--", lt):
+            end = find("-->", lt + 4)
+            at = size if end < 0 else end + 3
+            out.append((lt, at, "", False, ""))
+            continue
+        if page[at : at + 1] in ("!", "?"):
+            if (end := find(">", at)) >= 0:
+                at = end + 1
+                out.append((lt, at, "", False, ""))
+            continue
+        m = _OPEN.match(page, lt)
+        if not m:
+            continue
+        place, end = m.end(), -1
+        while stop := _STOP.search(page, place):
+            c, place = stop[0], stop.end()
+            if c == ">":
+                end = place
+                break
+            if c == "<":
+                break
+            if (closing := find(c, place)) >= 0:
+                place = closing + 1
+        if end < 0:
+            # Quotes may have hidden the end: then it is the first > before another <.
+            first = _END.search(page, m.end())
+            if not first or first[0] == "<":
+                continue
+            end = first.end()
+        name, closes = m[1].lower(), page[lt + 1] == "/"
+        if name in RAW and not closes:
+            last = _CLOSE[name].search(page, end)
+            at = last.end() if last else size
+            out.append((lt, at, "", False, ""))
+            continue
+        at = end
+        out.append((lt, end, name, closes, page[m.end() : end - 1]))
+    return out
+
+
+def _wrappers(found: list[tuple[int, int, str, bool, str]]) -> set[int]:
+    """Starts of the forms that wrap a page's content and not fields alone: those that hold an article, a main part, a first heading or three paragraphs."""
+    out, open_at, score = set(), None, 0
+    for start, _, name, closes, _ in found:
+        if name == "form" and not closes and open_at is None:
+            open_at, score = start, 0
+        elif name == "form" and closes:
+            open_at = None
+        elif open_at is not None and not closes:
+            score += 3 if name in ("article", "main", "h1") else name == "p"
+            if score >= 3:
+                out.add(open_at)
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     page = page or ""
     found: list[Block] = []
     open_tags: list[str] = []
-    open_kinds: list[frozenset[str]] = []
+    # Of each open element: the tags and the kinds of it and its ancestors; equal sets are one object.
+    inside: list[tuple[frozenset[str], frozenset[str]]] = [(frozenset(), frozenset())]
+    depth: Counter[str] = Counter()
     parts: list[str] = []
     silent = links = linked = at = 0
     where: tuple | None = None
@@ -77,47 +157,53 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(piece)
             if where is None and not piece.isspace():
-                where = tuple(open_tags), frozenset().union(*open_kinds)
+                where = inside[-1]
 
     def close(tag: str, until: frozenset[str] = frozenset()) -> None:
         nonlocal silent, links
+        if not depth[tag]:
+            return
         for i in range(len(open_tags) - 1, -1, -1):
             if open_tags[i] == tag:
                 for t in open_tags[i:]:
-                    silent -= t in SILENT
+                    silent -= t in SILENT or t == "form"
                     links -= t == "a"
-                del open_tags[i:], open_kinds[i:]
+                    depth[t] -= 1
+                del open_tags[i:], inside[i + 1 :]
                 return
             if open_tags[i] in until:
                 return
 
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
+    every = tags(page)
+    wrappers = _wrappers(every)
+    for start, end, tag, closes, attributes in every:
+        add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             add(" ")
             continue
-        if tag in BLOCKS or tag in SILENT:
+        if tag not in HEAD:
+            close("head")
+        if tag in BLOCKS or tag == "form":
             flush()
-        if m.group(2):
+        if closes:
             close(tag)
             continue
-        if tag in VOID or m.group(4).endswith("/") and tag not in BLOCKS:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS or start in wrappers:
             continue
         if tag in _SAME:
             close(tag, _LISTS)
         elif tag in BLOCKS:
             close("p", _LISTS)
-        if tag == "body":
-            close("head")
-        names = " ".join(_NAME.findall(m.group(4))).lower()
+        names = " ".join(_NAME.findall(attributes)).lower() if "=" in attributes else ""
+        kinds = frozenset(KIND[w] for w in _WORDS.findall(names) if w in KIND)
+        tags_, kinds_ = inside[-1]
         open_tags.append(tag)
-        open_kinds.append(frozenset(KIND[w] for w in _WORDS.findall(names) if w in KIND))
-        silent += tag in SILENT
+        depth[tag] += 1
+        inside.append((tags_ if tag in tags_ else tags_ | {tag}, kinds_ if kinds <= kinds_ else kinds_ | kinds))
+        silent += tag in SILENT or tag == "form"
         links += tag == "a"
     add(page[at:])
     flush()
@@ -128,7 +214,7 @@ def features(block: Block) -> list[str]:
     words = block.text.count(" ") + 1
     share = block.linked / max(1, len(block.text))
     out = ["bias", f"words:{min(6, words.bit_length())}", f"links:{0 if share < 0.2 else 1 if share < 0.6 else 2}"]
-    out += [f"in:{t}" for t in set(block.tags) if t not in ("html", "body", "p", "div", "section", "span")]
+    out += [f"in:{t}" for t in block.tags if t not in ("html", "body", "p", "div", "section", "span")]
     out += [f"kind:{k}" for k in block.kinds]
     out.append("stop" if block.text[-1:] in ".!?…:;\"”»" else "open")
     if "©" in block.text or "all rights reserved" in block.text.lower():
