@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -240,7 +241,8 @@ class Scanner:
         """(start, rule, end) in bytes, sorted."""
         table, first, accepts = self.all.table, self.all.first, self.all.accepts
         s = clear = 0
-        done = [0] * len(self.own)
+        # Of each rule: where its last match ended, and up to where starts have been tried; a start's outcome never changes, so each is tried once.
+        done, tried = [0] * len(self.own), [0] * len(self.own)
         found = []
         for i, b in enumerate(data, 1):
             s = table[s + b]
@@ -248,7 +250,8 @@ class Scanner:
                 if s >= first:
                     for k in accepts[s >> 8]:
                         if i > done[k]:
-                            for start in range(max(clear, done[k]), i):
+                            begin, tried[k] = max(clear, done[k], tried[k]), i
+                            for start in range(begin, i):
                                 if (end := self.own[k].longest(data, start)) >= 0:
                                     done[k] = end
                                     found.append((start, k, end))
@@ -274,7 +277,9 @@ class Scanner:
         data = text.encode("utf-8", "surrogatepass")
         found = self.scan(data)
         if found and len(data) != len(text):
-            return [(len(data[:a].decode("utf-8", "replace")), self.names[k], len(data[:b].decode("utf-8", "replace"))) for a, k, b in found]
+            # Code points before each byte, counted once for all spans.
+            before = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])
+            return [(int(before[a]), self.names[k], int(before[b])) for a, k, b in found]
         return [(a, self.names[k], b) for a, k, b in found]
 
 
