@@ -4,7 +4,7 @@ n-grams are runs of one to three letters of a lower-cased text, a space standing
 least digest of their id (a documented bound; all texts in it are counted whole); prediction counts the whole of every text.
 
 Cases: null text, empty text or text without a letter is `und` with score 0, as is every text when nothing could be learnt; of equal distances the language first by
-code point wins; equal texts get equal results; an empty table gives no rows. A null doc_id counts as an empty id.
+code point wins; equal texts get equal results; an empty table gives no rows. A null doc_id counts as an empty id; rows equal in id, label and text are learnt from once.
 """
 
 from __future__ import annotations
@@ -59,14 +59,19 @@ def ranked(keys: np.ndarray, sums: np.ndarray, top: int = TOP) -> np.ndarray:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> dict[str, np.ndarray]:
     """Profiles from (doc_id, text, lang). What is collected is the top n-grams of the few languages of a bounded sample."""
-    rows = pick(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null").withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).orderBy("order", "lang", F.md5("text")).limit(sample)
+    names = ["order", "lang", "digest"]
+    rows = pick(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null")
+    rows = rows.select("text", "lang", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"), F.xxhash64("text").alias("digest"))
+    # Digests alone are ranked, at most `sample` rows of some 100 bytes; texts follow by a join with them.
+    chosen = rows.select(*names).orderBy(*names).limit(sample).distinct()
+    rows = rows.join(F.broadcast(chosen), names, "left_semi").dropDuplicates(names)
 
     def grams(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for text, lang in zip(batch.column(1), batch.column(2).to_pylist()):
             k, n = counts(text.as_py())
             yield as_batch([[lang] * len(k), k, n], pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())]))
 
-    sums = map_text(rows.select("doc_id", "text", "lang").repartition(8, "doc_id"), "text", grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = map_text(rows.select("order", "text", "lang"), "text", grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best: dict[str, list[int]] = {}
     for r in sums.withColumn("place", place).where(F.col("place") <= top).orderBy("lang", "place").collect():
