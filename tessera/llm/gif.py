@@ -2,7 +2,7 @@
 
 `decode` plays any GIF87a/89a: it resolves local and global palettes, interlacing, transparency and disposal onto the canvas. `store` writes a payload of whole 576-byte rows as frames of at most
 64 rows with a grey palette, so that samples are palette indices and are read back without loss. Cases: null text is empty (its payload is 576 bytes of 255); equal texts give equal
-bytes; a damaged stream raises ValueError; memory is that of one text and its frames.
+bytes; a null doc_id and repeated rows are returned as they are; a damaged stream raises ValueError; an empty table gives no rows; memory is that of one text and its frames.
 """
 
 from __future__ import annotations
@@ -173,8 +173,8 @@ def frames(data: bytes) -> Iterator[dict]:
         control = (0, 0, None)
 
 
-def decode(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start and length in hundredths of a second, RGBA canvas) of each frame as it is shown."""
+def decode(data: bytes) -> Iterator[tuple[int, int, tuple[int, int, int, int], np.ndarray]]:
+    """(start and length in hundredths of a second, place drawn on, RGBA canvas) of each frame as it is shown; the canvas is good until the next frame."""
     canvas, start = None, 0
     for f in frames(data):
         w, h = f["canvas"]
@@ -184,11 +184,14 @@ def decode(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         before = canvas.copy() if f["disposal"] == 3 else None
         area = canvas[top : top + fh, left : left + fw]
         index = f["index"][: area.shape[0], : area.shape[1]]
-        seen = np.ones(index.shape, bool) if f["transparent"] is None else index != f["transparent"]
         colours = np.zeros((256, 4), np.uint8)
         colours[: len(f["palette"]), :3], colours[:, 3] = f["palette"], 255
-        area[seen] = colours[index[seen]]
-        yield start, f["delay"], canvas.copy()
+        if f["transparent"] is None:
+            area[:] = colours[index]
+        else:
+            seen = index != f["transparent"]
+            area[seen] = colours[index[seen]]
+        yield start, f["delay"], f["place"], canvas
         start += f["delay"]
         if f["disposal"] == 2:
             area[:] = 0
@@ -196,6 +199,12 @@ def decode(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
             canvas = before
 
 
+def histogram(pixels: np.ndarray) -> list[int]:
+    """Of RGBA pixels that are shown: BINS counts each of red, green and blue."""
+    shown = pixels[pixels[..., 3] > 0]
+    return [int(n) for c in range(3) for n in np.bincount(shown[:, c] // (256 // BINS), minlength=BINS)]
+
+
 def payload(text: str | None) -> tuple[int, bytes]:
     data = (text or "").encode("utf-8", "surrogatepass")
     return len(data), data + b"\xff" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
@@ -204,13 +213,42 @@ def payload(text: str | None) -> tuple[int, bytes]:
 def measure(text: str | None) -> tuple:
     n, data = payload(text)
     media = store(data)
-    grey = [f["palette"][:, 0][f["index"]].astype(np.uint8).tobytes() for f in frames(media)]
-    back = b"".join(grey)
-    counts = np.bincount(np.frombuffer(back, np.uint8) // (256 // BINS), minlength=BINS)
-    feature = f"frames={len(grey)};time={DELAY * len(grey)};histogram=" + ",".join(map(str, counts))
+    parts, counts, time = [], np.zeros(BINS, np.int64), 0
+    for start, delay, (left, top, w, h), canvas in decode(media):
+        grey = canvas[top : top + h, left : left + w, 0].ravel()
+        counts += np.bincount(grey // (256 // BINS), minlength=BINS)
+        parts.append(grey.tobytes())
+        time = start + delay
+    back = b"".join(parts)
+    feature = f"frames={len(parts)};time={time};histogram=" + ",".join(map(str, counts))
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
+def media(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, gif (its payload as a GIF)."""
+    d = pick(docs, "doc_id", "text")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        made = [store(payload(t.as_py())[1]) for t in batch.column(1)]
+        yield as_batch([batch.column(0), made], pa.schema([("doc_id", batch.schema.field(0).type), ("gif", pa.binary())]))
+
+    return map_text(d, "text", run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, gif binary")
+
+
+def timed_frames(gifs: DataFrame) -> DataFrame:
+    """(doc_id, gif) to one row for each frame as it is shown: doc_id, frame (from 0), start and delay in hundredths of a second, histogram (16 counts each of red, green, blue over the whole canvas).
+    A null GIF has no rows."""
+    d = pick(gifs, "doc_id", "gif").where("gif is not null")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", batch.schema.field(0).type), ("frame", pa.int32()), ("start", pa.int64()), ("delay", pa.int64()), ("histogram", pa.list_(pa.int64()))])
+        for doc, gif in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows = [(doc, k, start, delay, histogram(canvas)) for k, (start, delay, _, canvas) in enumerate(decode(gif.as_py()))]
+            yield as_batch([*zip(*rows)] if rows else [[]] * 5, schema)
+
+    return map_text(d, "gif", run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, frame int, start long, delay long, histogram array<long>")
+
+
 def _measured(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     rows = [measure(t.as_py()) for t in batch.column(1)]
     kinds = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
