@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import struct
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -327,3 +329,143 @@ def test_near_duplicates_of_one_hot_centre(spark, monkeypatch, star):
     texts += [prose(60, 100 + i) for i in range(200)]
     got = minhash.near(frame(spark, texts), 3, 85).collect()
     assert {g.component_id for g in got if g.doc_id < 120} == {0} and all(g.kept for g in got if g.doc_id >= 120)
+
+
+def test_secrets_against_regular_expressions_on_whole_texts(spark):
+    r = random.Random(8)
+    pieces = ["password", "passwd", "SECRET", "token", "api_key", "APIKEY", "=", ":", " ", "'", '"', "abcdef", "AKIA", "A1B2C3D4E5F6G7H8J9", "deadbeef" * 3, "0a", "é", "中", "\n", "xy", "ghp_" + "a" * 40]
+    texts = [None, "", "token=password: " + "z" * 50000] + ["".join(r.choice(pieces) for _ in range(r.choice([5, 40, 400]))) for _ in range(120)]
+    rules = {"assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+    want = []
+    for t in texts:
+        spans = [(m.start(), k, m.end()) for k, (name, rule) in enumerate(rules.items()) for m in re.finditer(rule, t or "") if (len(m[2]) >= 6 if name == "assign" else len(m[0]) >= {"access": 20, "hex": 24}[name])]
+        code = ",".join(f"{list(rules)[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        want.append((*(sum(k == x for _, k, _ in spans) for x in range(3)), hashlib.sha256(code.encode()).hexdigest()))
+    got = sorted(secrets.find(frame(spark, texts)).collect(), key=lambda g: g.doc_id)
+    assert [(g.n_assign, g.n_access, g.n_hex, g.base_sha256) for g in got] == want
+    assert any("github:" in g.spans for g in got)
+    assert secrets.find(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["token=password: " + "a" * 300000, "token=password: " * 20000, "password: é" * 30000, "eyJ" * 100000])
+def test_secrets_take_time_in_proportion(text):
+    start = time.process_time()
+    secrets.scanner().spans(text)
+    assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("mark", ['<a "', '<a ">"', "<!", "<a '\">", "<", "<script", "<div>a", "</p>"])
+def test_broken_pages_take_time_in_proportion(mark):
+    start = time.process_time()
+    html.main_text(mark * (300000 // len(mark)), html.model())
+    assert time.process_time() - start < 20
+
+
+def test_html_cases(spark):
+    long = "Some text that is long enough to be read as prose, with an end."
+    pages = [
+        f"<form action=x><h1>A title</h1><p>{long}</p></form>",
+        f"<head><title>t</title><h1>A title</h1><p>{long}</p>",
+        f"<body><article><h1>A title</h1><p>Some text that is long <button>Buy</button>enough to be read as prose, with an end.</p></article></body>",
+        f"<body><article><h1>A title</h1><p>{long}</p><form><label>Name</label><p>x</p></form></article>",
+        None, "", "<p", "<html></html>",
+    ]
+    rows = [(i, "u", p, "x", "y") for i, p in enumerate(pages)] + [(None, None, pages[0], "x", "y")]
+    got = sorted(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, note string, NOTE string")).collect(), key=lambda g: (g.page_id is None, g.page_id))
+    assert [g.text for g in got] == [f"A title\n\n{long}"] * 4 + [""] * 2 + [got[6].text, ""] + [f"A title\n\n{long}"]
+    assert all(g.n_chars == len(g.text) for g in got)
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_of_labelled_pages_held_out():
+    """Pages of another seed than the model's."""
+    chain = html.model()
+    made = html.labelled_pages(80, 77)
+    right = sum(html.main_text(p, chain) == "\n\n".join(main) for p, main in made)
+    assert right >= 72
+
+
+def _gif(frames, size=(4, 4), palette=((255, 0, 0), (0, 255, 0), (0, 0, 255), (9, 9, 9)), interlaced=False, local=None):
+    """A GIF of frames (place, samples, disposal, transparent, delay), written by the format's description."""
+    out = [b"GIF89a", struct.pack("<HHBBB", *size, 0x91, 0, 0), bytes(c for p in palette for c in p)]
+    for (left, top, w, h), samples, disposal, clear, delay in frames:
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), delay, clear or 0) + b"\0")
+        if interlaced:
+            order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)]
+            samples = [v for y in order for v in samples[y * w : y * w + w]]
+        flags = (0x40 if interlaced else 0) | (0x81 if local else 0)
+        out.append(b"\x2c" + struct.pack("<HHHHB", left, top, w, h, flags) + (bytes(c for p in local for c in p) if local else b"") + b"\x02" + gif._blocks(gif.lzw_encode(bytes(samples), 2)))
+    return b"".join(out) + b"\x3b"
+
+
+def test_gif_playback_and_frame_rows(spark):
+    whole, spot = (0, 0, 4, 4), (1, 1, 2, 2)
+    data = _gif([(whole, [0] * 16, 1, None, 5), (spot, [1, 2, 1, 2], 2, 2, 7), (spot, [1] * 4, 3, None, 1), (spot, [3] * 4, 1, None, 2)])
+    shown = [(start, delay, canvas.copy()) for start, delay, _, canvas in gif.decode(data)]
+    assert [x[:2] for x in shown] == [(0, 5), (5, 7), (12, 1), (13, 2)]
+    assert (shown[0][2] == [255, 0, 0, 255]).all()
+    assert shown[1][2][1, 1].tolist() == [0, 255, 0, 255] and shown[1][2][1, 2].tolist() == [255, 0, 0, 255]  # transparent: what was there
+    assert shown[2][2][1, 2].tolist() == [0, 255, 0, 255] and shown[2][2][0, 0].tolist() == [255, 0, 0, 255]
+    assert shown[3][2][1, 1].tolist() == [9, 9, 9, 255]
+    cleared = _gif([(whole, [0] * 16, 1, None, 5), (spot, [1] * 4, 2, None, 7), ((0, 0, 1, 1), [2], 3, None, 1), ((3, 3, 1, 1), [2], 1, None, 1)])
+    last = [c.copy() for *_, c in gif.decode(cleared)]
+    assert last[2][1, 1].tolist() == [0, 0, 0, 0] and last[3][0, 0].tolist() == [255, 0, 0, 255] and last[3][3, 3].tolist() == [0, 0, 255, 255]
+    rows_ = [y % 4 for y in range(16) for _ in range(4)]
+    assert next(gif.frames(_gif([((0, 0, 4, 16), rows_, 1, None, 1)], (4, 16), interlaced=True)))["index"].ravel().tolist() == rows_
+    assert next(gif.decode(_gif([(whole, [1] * 16, 1, None, 1)], local=((1, 2, 3), (4, 5, 6), (0, 0, 0), (0, 0, 0)))))[3][0, 0].tolist() == [4, 5, 6, 255]
+    table = gif.timed_frames(spark.createDataFrame([(1, data), (None, None)], "doc_id long, gif binary")).orderBy("frame").collect()
+    assert [(g.doc_id, g.frame, g.start, g.delay) for g in table] == [(1, 0, 0, 5), (1, 1, 5, 7), (1, 2, 12, 1), (1, 3, 13, 2)]
+    assert table[0].histogram[15] == 16 and table[0].histogram[16] == 16 and sum(table[0].histogram) == 48
+    for bad in (b"", b"GIF89a", data[:60], data.replace(b"\x2c", b"\x2e", 1)):
+        with pytest.raises((ValueError, struct.error, IndexError)):
+            list(gif.decode(bad))
+
+
+def test_gif_query_against_recomputed_values(spark):
+    texts = [None, "", "é" * 999, "x" * 576 * 70, prose(500, 3), prose(500, 3)]
+    got = sorted(gif.store_all(frame(spark, texts)).collect(), key=lambda g: g.doc_id)
+    stored = {g.doc_id: g.gif for g in gif.media(frame(spark, texts)).collect()}
+    for g, t in zip(got, texts):
+        raw = (t or "").encode()
+        data = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
+        assert (g.media_bytes, g.media_sha256) == (len(stored[g.doc_id]), hashlib.sha256(stored[g.doc_id]).hexdigest())
+    assert got[4][1:] == got[5][1:] and gif.store_all(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_language_against_a_plain_version(spark):
+    """Held-out rows, null ids, no label, ties, a text of several pieces, an empty table."""
+    r = random.Random(3)
+    words = {"en": "the of and to in is that it was for".split(), "fr": "le la les et un une que dans est pour".split(), "de": "der die und das ist nicht ein zu den mit".split()}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(3, 60))), lang) for i, lang in enumerate(list(words) * 25)]
+    rows += [(None, "le chat", None), (900, "the dog, 7 " * 30000, None), (901, None, "en"), (902, " 12 !", "fr"), (903, "", "de"), (904, "the", "en"), (904, "the", "en")]
+    d = spark.createDataFrame([(i, t, g, "s", 0, "") for i, t, g in rows], SCHEMA)
+
+    def grams(text):
+        out = Counter()
+        letters = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        for n in (1, 2, 3):
+            for k in range(len(letters) - n + 1):
+                g = letters[k : k + n]
+                if g.strip() and not (n == 3 and g[1] == " ") and not (n == 2 and g == "  "):
+                    out[g] += 1
+        return out
+
+    rank = lambda c: {g: k for k, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], sum(ord(a) << 21 * (len(x[0]) - 1 - j) for j, a in enumerate(x[0]))))[: language.TOP])}
+    learnt = {}
+    for i, t, g in {(i, t, g) for i, t, g in rows if t is not None and g and zlib.crc32(str(i).encode()) % 5}:
+        learnt.setdefault(g, Counter()).update(grams(t))
+    profiles = {g: rank(c) for g, c in sorted(learnt.items())}
+    want = []
+    for i, t, _ in rows:
+        mine = rank(grams(t or ""))
+        if not any(len(g) == 1 for g in mine):
+            want.append((i, "und"))
+            continue
+        far = {g: sum(abs(p[x] - k) if x in p else language.TOP for x, k in mine.items()) for g, p in profiles.items()}
+        want.append((i, min(far, key=far.get)))
+    got = language.held_out(d).collect()
+    assert Counter((g.doc_id, g.lang_pred) for g in got) == Counter(want) and all(0 <= g.score <= 1 for g in got)
+    assert all(g.held_out == (zlib.crc32(str(g.doc_id if g.doc_id is not None else "").encode()) % 5 == 0) for g in got)
+    assert {g.lang_pred for g in language.held_out(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert language.held_out(d.limit(0)).count() == 0
