@@ -1,63 +1,138 @@
-"""Byte statistics of slices, DataFrame functions only. A slice is (id, raw binary); bytes are exploded once and reduced per slice and value with map-side combination."""
+"""Byte statistics of slices (id, raw): each slice is counted in one pass where it lies, and gives one row (or one for each byte value); nothing is exploded into bytes or shuffled. A slice is held
+whole by one worker, and its working arrays are a small multiple of it; blocks bound those of adjacent bytes. Slices without bytes give no row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.batches import rows_of
+
+#: Bytes that are looked at in one go.
+BLOCK = 1 << 22
+#: Windows of a slice, and bytes of one; slices of up to FULL bytes are sampled whole.
+WINDOWS, WINDOW, FULL = 5, 128 << 10, 8 << 20
+
 
 def slices(docs: DataFrame) -> DataFrame:
     """Texts as slices; null is empty."""
     return docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
 
 
-def exploded(s: DataFrame) -> DataFrame:
-    """(id, pos, byte) with pos from 0."""
-    hexed = s.select("id", F.hex("raw").alias("h")).where("length(h) > 0")
-    pairs = F.regexp_extract_all("h", F.lit("..")  , F.lit(0))
-    return hexed.select("id", F.posexplode(pairs).alias("pos", "x")).select("id", "pos", F.conv("x", 16, 10).cast("int").alias("byte"))
+def counts(raw: bytes) -> np.ndarray:
+    return np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+
+
+def entropy_of(n: np.ndarray) -> float:
+    """Bits of entropy of counts; 0 if there are none."""
+    p = n[n > 0] / max(1, n.sum())
+    return float(-(p * np.log2(p)).sum()) + 0.0
+
+
+def moments(n: np.ndarray, values: np.ndarray | None = None) -> tuple[float, float]:
+    """Mean and population deviation of values by their counts."""
+    v = np.arange(len(n)) if values is None else values
+    mean = float((n * v).sum() / n.sum())
+    return mean, float(np.sqrt(max(0.0, float((n * v * v).sum() / n.sum()) - mean * mean)))
+
+
+def adjacent_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the distances and of the XORs of neighbours, block by block."""
+    x = np.frombuffer(raw, np.uint8)
+    far, xor = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    for at in range(0, len(x) - 1, BLOCK):
+        a, b = x[at : at + BLOCK], x[at + 1 : at + BLOCK + 1]
+        a = a[: len(b)]
+        far += np.bincount(np.maximum(a, b) - np.minimum(a, b), minlength=256)
+        xor += np.bincount(a ^ b, minlength=256)
+    return far, xor
+
+
+def window_entropies(raw: bytes, width: int = WINDOW) -> list[float]:
+    """Of the whole slice, or of WINDOWS evenly placed windows where it is longer than one."""
+    if len(raw) <= width:
+        return [entropy_of(counts(raw))]
+    return [entropy_of(counts(raw[at : at + width])) for at in window_starts(len(raw), WINDOWS, width)]
+
+
+def window_starts(size: int, n: int = WINDOWS, width: int = WINDOW) -> list[int]:
+    """Whole parts of evenly spaced places, the first at 0 and the last where the window ends with the slice."""
+    return [int(i * (size - width) / (n - 1)) for i in range(n - 1)] + [size - width]
+
+
+def sampled(raw: bytes) -> bytes:
+    """The windows joined, for slices over FULL bytes."""
+    return raw if len(raw) <= FULL else b"".join(raw[at : at + WINDOW] for at in window_starts(len(raw)))
 
 
-def histogram(s: DataFrame) -> DataFrame:
-    """A1: (id, byte, n, p)."""
-    counts = exploded(s).groupBy("id", "byte").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("id")))
+def bit_shares(n: np.ndarray) -> list[float]:
+    """Mean of each bit, highest first."""
+    v = np.arange(256)
+    return [float((n * (v >> (7 - k) & 1)).sum() / n.sum()) for k in range(8)]
+
+
+def histogram(s: DataFrame, zeros: bool = False) -> DataFrame:
+    """A1: (id, byte, n, p); with `zeros` also the values that don't occur."""
+
+    def rows(i, raw: bytes, _) -> Iterator[tuple]:
+        n = counts(raw)
+        for v in range(256) if zeros and raw else np.flatnonzero(n).tolist():
+            yield i, v, int(n[v]), n[v] / len(raw)
+
+    return rows_of(s, rows, "id long, byte int, n long, p double")
 
 
 def entropy(s: DataFrame) -> DataFrame:
     """Entropy, shares of zero and 255, of the largest and the four largest bins, share of byte values, mean / 255 and population deviation / 128."""
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "byte"))
-    h = histogram(s).withColumn("place", place)
-    mean = F.sum(F.col("p") * F.col("byte"))
-    return h.groupBy("id").agg(
-        F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"),
-        F.round(F.sum(F.when(F.col("byte") == 0, F.col("p")).otherwise(0.0)), 6).alias("zero_frac"),
-        F.round(F.sum(F.when(F.col("byte") == 255, F.col("p")).otherwise(0.0)), 6).alias("ff_frac"),
-        F.round(F.max("p"), 6).alias("top1_frac"),
-        F.round(F.sum(F.when(F.col("place") <= 4, F.col("p")).otherwise(0.0)), 6).alias("top4_frac"),
-        F.round(F.count(F.lit(1)) / 256, 6).alias("unique_byte_ratio"),
-        F.round(mean / 255, 6).alias("mean_byte"),
-        F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("p") * F.col("byte") * F.col("byte")) - mean * mean)) / 128, 6).alias("std_byte"),
-    )
+
+    def rows(i, raw: bytes, _) -> Iterator[tuple]:
+        if raw:
+            n = counts(raw)
+            p, (mean, std) = n / len(raw), moments(n)
+            top = np.sort(p)[::-1]
+            yield i, *(round(float(x), 6) for x in (entropy_of(n), p[0], p[255], top[0], top[:4].sum(), (n > 0).mean(), mean / 255, std / 128))
+
+    return rows_of(s, rows, "id long, entropy double, zero_frac double, ff_frac double, top1_frac double, top4_frac double, unique_byte_ratio double, mean_byte double, std_byte double")
 
 
 def bit_density(s: DataFrame) -> DataFrame:
     """Mean of each bit, highest first."""
-    return exploded(s).groupBy("id").agg(*[F.round(F.avg(F.shiftright("byte", 7 - k).bitwiseAND(1)), 6).alias(f"bit{k}") for k in range(8)])
+    return rows_of(s, lambda i, raw, _: [(i, *(round(x, 6) for x in bit_shares(counts(raw))))] if raw else [], "id long, " + ", ".join(f"bit{k} double" for k in range(8)))
 
 
 def adjacent(s: DataFrame) -> DataFrame:
-    """Share of equal neighbours, mean and deviation of their distance / 255. One slice's bytes are ordered in one task: its size bounds it."""
-    d = F.col("byte") - F.lag("byte").over(Window.partitionBy("id").orderBy("pos"))
-    rows = exploded(s).withColumn("d", F.abs(d)).where("d is not null")
-    return rows.groupBy("id").agg(F.round(F.avg((F.col("d") == 0).cast("double")), 6).alias("same_adjacent"), F.round(F.avg("d") / 255, 6).alias("mean_delta"), F.round(F.stddev_pop("d") / 255, 6).alias("std_delta"))
+    """Share of equal neighbours, mean / 255, deviation / 128 and entropy of their distance, entropy of their XOR. Slices of one byte give no row."""
+
+    def rows(i, raw: bytes, _) -> Iterator[tuple]:
+        if len(raw) > 1:
+            far, xor = adjacent_counts(raw)
+            mean, std = moments(far)
+            yield i, *(round(x, 6) for x in (float(far[0] / far.sum()), mean / 255, std / 128, entropy_of(far), entropy_of(xor)))
+
+    return rows_of(s, rows, "id long, same_adjacent double, mean_delta double, std_delta double, delta_entropy double, xor_entropy double")
+
+
+def window_stats(s: DataFrame, width: int = WINDOW) -> DataFrame:
+    """Windows, and mean, population deviation, least and most of their entropies / 8."""
+
+    def rows(i, raw: bytes, _) -> Iterator[tuple]:
+        if raw:
+            e = np.array(window_entropies(raw, width)) / 8
+            yield i, len(e), *(round(float(x), 6) for x in (e.mean(), e.std(), e.min(), e.max()))
+
+    return rows_of(s, rows, "id long, windows int, mean double, std double, least double, most double")
 
 
 def run_lengths(s: DataFrame) -> DataFrame:
-    """Runs of equal bytes and the size of their run-length coding, a varint and a byte each."""
-    w = Window.partitionBy("id").orderBy("pos")
-    starts = exploded(s).withColumn("before", F.lag("byte").over(w)).where("before is null or before <> byte")
-    total = s.select("id", F.octet_length("raw").alias("size"))
-    length = F.coalesce(F.lead("pos").over(w), F.col("size")) - F.col("pos")
-    varint = F.when(F.col("len") < 128, 1).when(F.col("len") < 16384, 2).when(F.col("len") < 2097152, 3).when(F.col("len") < 268435456, 4).otherwise(5)
-    return starts.join(total, "id").withColumn("len", length).groupBy("id").agg(F.count(F.lit(1)).alias("runs"), F.max("len").cast("long").alias("longest"), F.sum(varint + 1).alias("rle_size"))
+    """Runs of equal bytes, the longest, and the size of their run-length coding, a varint and a byte each."""
+
+    def rows(i, raw: bytes, _) -> Iterator[tuple]:
+        if raw:
+            x = np.frombuffer(raw, np.uint8)
+            n = np.diff(np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]))
+            yield i, len(n), int(n.max()), int(sum((n >> 7 * k > 0).sum() for k in range(9)) + len(n))
+
+    return rows_of(s, rows, "id long, runs long, longest long, rle_size long")

@@ -20,6 +20,16 @@ def uleb(values: np.ndarray) -> bytes:
     return ((parts & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7))[used].tobytes()
 
 
+def uleb1(n: int) -> bytes:
+    """LEB128 of one value."""
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
 def unuleb(raw: bytes, count: int | None = None, at: int = 0) -> tuple[np.ndarray, int]:
     """`count` values (all that there are, if None) from `at`, and where they end. Raises ValueError on a cut or overlong value."""
     b = np.frombuffer(raw, np.uint8)[at : None if count is None else at + 10 * count]

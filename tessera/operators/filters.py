@@ -1,9 +1,13 @@
-"""Reversible filters on the bytes of a slice, with their inverses. Typed filters read little-endian integers of `size` bytes; a rest that fills no item follows unchanged, but
-for integer codes (varint, bit_packing), which take whole items alone and raise ValueError otherwise."""
+"""Reversible filters on the bytes of a slice, with their inverses.
+
+A slice has a layout: the type of its items (None: single bytes of no type) and its shape. A filter that needs items of two bytes, integers, whole items or a shape, and doesn't have
+them, raises ValueError with the reason. `ALL` has, by name, a forward step (bytes, layout) to (bytes, what the inverse needs) and the inverse (bytes, layout, that) to bytes."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 
@@ -47,21 +51,12 @@ def unxor(raw: bytes, size: int = 1) -> bytes:
     return np.bitwise_xor.accumulate(x).tobytes() + rest if len(x) else rest
 
 
-def length_code(n: int) -> bytes:
-    out = bytearray()
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    out.append(n)
-    return bytes(out)
-
-
 def rle(raw: bytes) -> bytes:
     x = np.frombuffer(raw, np.uint8)
     if not len(x):
         return b""
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return b"".join(length_code(int(n)) + bytes([x[a]]) for a, n in zip(at, np.diff(np.append(at, len(x)))))
+    return b"".join(coding.uleb1(int(n)) + bytes([x[a]]) for a, n in zip(at, np.diff(np.append(at, len(x)))))
 
 
 def unrle(raw: bytes) -> bytes:
@@ -131,7 +126,7 @@ def bit_packing(raw: bytes, size: int = 4, signed: bool = True) -> bytes:
     """Count and bit width as LEB128, then all items (zigzag codes if signed) at that width."""
     x = _whole(raw, size)
     v = coding.zigzag(x.view(f"<i{size}")) if signed else x.astype(np.uint64)
-    bits = coding.width(v)
+    bits = max(1, coding.width(v))
     return coding.uleb([len(v), bits]) + coding.pack(v, bits)
 
 
@@ -149,7 +144,7 @@ def dictionary(raw: bytes, size: int = 1) -> bytes:
     order = np.argsort(first, kind="stable")
     rank = np.empty(len(order), np.uint64)
     rank[order] = np.arange(len(order), dtype=np.uint64)
-    bits = max(0, len(names) - 1).bit_length()
+    bits = max(1, max(0, len(names) - 1).bit_length())
     return coding.uleb([size, len(tokens), len(names), bits]) + names[order].tobytes() + coding.pack(rank[of.ravel()], bits)
 
 
@@ -166,15 +161,15 @@ def records(raw: bytes, size: int = 1) -> list[bytes]:
 
 
 def delta_length(raw: bytes, size: int = 1) -> bytes:
-    """Number of records, zigzag differences of their lengths, all as LEB128, and the bytes."""
+    """Number of records, bytes of the next stream, zigzag differences of the records' lengths, all as LEB128, and the bytes."""
     lengths = np.array([len(r) for r in records(raw, size)], np.int64)
-    return coding.uleb([len(lengths)]) + coding.uleb(coding.zigzag(np.diff(lengths, prepend=0))) + raw
+    stream = coding.uleb(coding.zigzag(np.diff(lengths, prepend=0)))
+    return coding.uleb([len(lengths), len(stream)]) + stream + raw
 
 
 def undelta_length(raw: bytes) -> bytes:
-    (n,), at = coding.unuleb(raw, 1)
-    _, at = coding.unuleb(raw, int(n), at)
-    return raw[at:]
+    (_, size), at = coding.unuleb(raw, 2)
+    return raw[at + int(size) :]
 
 
 def front_coding(raw: bytes, size: int = 1) -> bytes:
@@ -183,9 +178,9 @@ def front_coding(raw: bytes, size: int = 1) -> bytes:
     pieces = records(raw, size)
     for r in pieces:
         shared = len(os.path.commonprefix([before, r]))
-        out += [length_code(shared), length_code(len(r) - shared), r[shared:]]
+        out += [coding.uleb1(shared), coding.uleb1(len(r) - shared), r[shared:]]
         before = r
-    return length_code(len(pieces)) + b"".join(out)
+    return coding.uleb1(len(pieces)) + b"".join(out)
 
 
 def unfront_coding(raw: bytes) -> bytes:
@@ -232,24 +227,215 @@ def unpackbits(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-#: Forward and inverse of every filter by name.
-ALL = {
-    "identity": (bytes, bytes),
-    "shuffle": (shuffle, unshuffle),
-    "bitshuffle": (bitshuffle, unbitshuffle),
-    "delta": (delta, undelta),
-    "higher_order_delta": (delta2, undelta2),
-    "zigzag_uleb128_varint": (varint, unvarint),
-    "bit_packing": (bit_packing, unbit_packing),
-    "rle": (rle, unrle),
-    "dictionary_categorize": (dictionary, undictionary),
-    "byte_stream_split": (shuffle, unshuffle),
-    "nbit": (bit_packing, unbit_packing),
-    "packbits": (packbits, unpackbits),
-    "delta_length_byte_array": (delta_length, undelta_length),
-    "delta_byte_array": (front_coding, unfront_coding),
-    "tdt": (tdt, untdt),
-    "xor_residual": (xor, unxor),
+RUN, LITERALS = 4, 128
+
+
+def hybrid(values: np.ndarray) -> tuple[bytes, int]:
+    """Runs of four and more as (1, length, value), what lies between as blocks (0, count, values at one bit width) of at most 128; and that width."""
+    v = np.asarray(values, np.uint64)
+    bits = max(1, coding.width(v))
+    if not len(v):
+        return b"", bits
+    at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    size = np.diff(np.append(at, len(v)))
+    out, plain = [], 0
+
+    def literals(end: int) -> None:
+        for i in range(plain, end, LITERALS):
+            part = v[i : min(i + LITERALS, end)]
+            out.append(b"\0" + coding.uleb1(len(part)) + coding.pack(part, bits))
+
+    for start, n in zip(at[size >= RUN].tolist(), size[size >= RUN].tolist()):
+        literals(start)
+        out.append(b"\1" + coding.uleb1(n) + coding.uleb1(int(v[start])))
+        plain = start + n
+    literals(len(v))
+    return b"".join(out), bits
+
+
+def unhybrid(raw: bytes, bits: int) -> np.ndarray:
+    out, at = [], 0
+    while at < len(raw):
+        kind, at = raw[at], at + 1
+        (n,), at = coding.unuleb(raw, 1, at)
+        if kind:
+            (value,), at = coding.unuleb(raw, 1, at)
+            out.append(np.full(int(n), value, np.uint64))
+        else:
+            end = at + (int(n) * bits + 7) // 8
+            out.append(coding.unpack(raw[at:end], int(n), bits))
+            at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+class Context:
+    """What a value's context says comes next: a table under a hash of the values (fcm) or strides (dfcm) before it."""
+
+    def __init__(self, bits: int, strides: bool, hash_bits: int = 16) -> None:
+        self.mask, self.table, self.top = (1 << bits) - 1, [0] * (1 << hash_bits), (1 << hash_bits) - 1
+        self.strides, self.at, self.last = strides, 0, 0
+        # How far the hash moves for each value, and how many leading bits of one it takes.
+        self.move, self.cut = (2, max(0, bits - 24)) if strides else (5, max(0, bits - 16))
+
+    def guess(self) -> int:
+        return (self.last + self.table[self.at]) & self.mask if self.strides else self.table[self.at]
+
+    def learn(self, value: int) -> None:
+        seen = (value - self.last) & self.mask if self.strides else value
+        self.table[self.at] = seen
+        self.at = (self.at << self.move ^ seen >> self.cut) & self.top
+        self.last = value
+
+
+def residual(raw: bytes, size: int, strides: bool, back: bool = False) -> bytes:
+    """Each item XOR what its context says; the same with `back` undoes it."""
+    x, context, out = np.frombuffer(raw, f"<u{size}"), Context(8 * size, strides), []
+    for item in x.tolist():
+        other = item ^ context.guess()
+        out.append(other)
+        context.learn(other if back else item)
+    return np.array(out, x.dtype).tobytes()
+
+
+def lorenzo(raw: bytes, size: int, shape: tuple[int, ...]) -> bytes:
+    """Differences along every axis, modulo the items' range: each item less what its lower neighbours say by inclusion and exclusion."""
+    x = np.frombuffer(raw, f"<u{size}").reshape(shape)
+    for axis in range(len(shape)):
+        x = np.diff(x, axis=axis, prepend=x.dtype.type(0))
+    return x.tobytes()
+
+
+def unlorenzo(raw: bytes, size: int, shape: tuple[int, ...]) -> bytes:
+    x = np.frombuffer(raw, f"<u{size}").reshape(shape)
+    for axis in range(len(shape)):
+        x = np.cumsum(x, axis=axis, dtype=x.dtype)
+    return x.tobytes()
+
+
+CELL = 4
+
+
+def cells(shape: tuple[int, ...]) -> np.ndarray:
+    """Places of the items in cell order: cells of at most four along each axis, one after the other, each by rows."""
+    places = np.indices(shape).reshape(len(shape), -1)
+    side = [min(CELL, n) or 1 for n in shape]
+    outer, inner = ([f(p, n) for p, n in zip(places, side)] for f in (np.floor_divide, np.mod))
+    return np.lexsort([*inner[::-1], *outer[::-1]])
+
+
+#: Bytes of an item by type.
+SIZES = {"uint8": 1, "uint16": 2, "uint32": 4, "uint64": 8, "int8": 1, "int16": 2, "int32": 4, "int64": 8, "float32": 4, "float64": 8}
+
+
+class Layout(NamedTuple):
+    dtype: str | None = None
+    shape: tuple[int, ...] | None = None
+
+    @property
+    def size(self) -> int:
+        return SIZES.get(self.dtype, 1)
+
+    @property
+    def signed(self) -> bool:
+        return self.dtype is not None and self.dtype.startswith("int")
+
+    def shaped(self, raw: bytes) -> tuple[int, ...] | None:
+        """The shape, if it fits the slice."""
+        return self.shape if self.shape and int(np.prod(self.shape)) * self.size == len(raw) else None
+
+
+def _items(raw: bytes, lay: Layout, least: int = 2, integers: bool = False) -> None:
+    if len(raw) % lay.size:
+        raise ValueError(f"{len(raw)} bytes aren't items of {lay.size}")
+    if lay.size < least:
+        raise ValueError(f"items must have {least} bytes at least")
+    if integers and lay.dtype in ("float32", "float64"):
+        raise ValueError("items must be integers")
+
+
+def _sized(forward: Callable, back: Callable, least: int = 2) -> tuple[Callable, Callable]:
+    def there(raw: bytes, lay: Layout) -> tuple[bytes, dict]:
+        _items(raw, lay, least)
+        return forward(raw, lay.size), {}
+
+    return there, lambda raw, lay, _: back(raw, lay.size)
+
+
+def _integers(forward: Callable, back: Callable) -> tuple[Callable, Callable]:
+    def there(raw: bytes, lay: Layout) -> tuple[bytes, dict]:
+        _items(raw, lay, 2, True)
+        return forward(raw, lay.size, lay.signed), {}
+
+    return there, lambda raw, lay, _: back(raw, lay.size, lay.signed)
+
+
+def _loose(forward: Callable, back: Callable) -> tuple[Callable, Callable]:
+    return (lambda raw, lay: (forward(raw), {})), (lambda raw, lay, _: back(raw))
+
+
+def _recorded(forward: Callable, back: Callable) -> tuple[Callable, Callable]:
+    return (lambda raw, lay: (forward(raw, lay.size), {})), (lambda raw, lay, _: back(raw))
+
+
+def _hybrid(raw: bytes, lay: Layout) -> tuple[bytes, dict]:
+    _items(raw, lay, 1)
+    v = coding.zigzag(np.frombuffer(raw, f"<i{lay.size}")) if lay.signed else np.frombuffer(raw, f"<u{lay.size}").astype(np.uint64)
+    out, bits = hybrid(v)
+    return out, {"bit_width": bits}
+
+
+def _unhybrid(raw: bytes, lay: Layout, meta: dict) -> bytes:
+    v = unhybrid(raw, meta["bit_width"])
+    return (coding.unzigzag(v) if lay.signed else v).astype(f"<u{lay.size}").tobytes()
+
+
+def _by_shape(forward: Callable, axes: int | None = None) -> Callable:
+    def there(raw: bytes, lay: Layout) -> tuple[bytes, dict]:
+        _items(raw, lay)
+        if not lay.shaped(raw):
+            raise ValueError("a shape that fits the slice is needed")
+        if axes and len(lay.shape) > axes:
+            raise ValueError(f"at most {axes} axes are known")
+        return forward(raw, lay), {}
+
+    return there
+
+
+def _uncelled(raw: bytes, lay: Layout, _: dict) -> bytes:
+    x = np.frombuffer(raw, f"<u{lay.size}")
+    out = np.empty_like(x)
+    out[cells(lay.shape)] = x
+    return out.tobytes()
+
+
+def _higher(raw: bytes, lay: Layout) -> tuple[bytes, dict]:
+    _items(raw, lay, 1)
+    return delta2(raw, lay.size), {"order": 2}
+
+
+#: Forward step and inverse of every filter by name.
+ALL: dict[str, tuple[Callable, Callable]] = {
+    "identity": _loose(bytes, bytes),
+    "shuffle": _sized(shuffle, unshuffle),
+    "bitshuffle": _sized(bitshuffle, unbitshuffle),
+    "delta": _sized(delta, undelta, 1),
+    "higher_order_delta": (_higher, lambda raw, lay, _: undelta2(raw, lay.size)),
+    "zigzag_uleb128_varint": _integers(varint, unvarint),
+    "bit_packing": _integers(bit_packing, unbit_packing),
+    "rle": _loose(rle, unrle),
+    "rle_bitpack_hybrid": (_hybrid, _unhybrid),
+    "dictionary_categorize": _recorded(dictionary, undictionary),
+    "byte_stream_split": _sized(shuffle, unshuffle),
+    "nbit": _integers(bit_packing, unbit_packing),
+    "packbits": _loose(packbits, unpackbits),
+    "delta_length_byte_array": _recorded(delta_length, undelta_length),
+    "delta_byte_array": _recorded(front_coding, unfront_coding),
+    "ndcell": (_by_shape(lambda raw, lay: np.frombuffer(raw, f"<u{lay.size}")[cells(lay.shape)].tobytes()), _uncelled),
+    "tdt": _sized(tdt, untdt),
+    "fcm_residual": _sized(lambda raw, n: residual(raw, n, False), lambda raw, n: residual(raw, n, False, True)),
+    "dfcm_residual": _sized(lambda raw, n: residual(raw, n, True), lambda raw, n: residual(raw, n, True, True)),
+    "xor_residual": _sized(xor, unxor),
+    "lorenzo_residual": (_by_shape(lambda raw, lay: lorenzo(raw, lay.size, lay.shape), 3), lambda raw, lay, _: unlorenzo(raw, lay.size, lay.shape)),
 }
-#: Those of the default sweep.
-FILTERS = {n: ALL[n] for n in ("identity", "shuffle", "delta", "xor_residual", "rle")}
+#: Those that apply to slices of no type.
+UNTYPED = ("identity", "delta", "higher_order_delta", "rle", "rle_bitpack_hybrid", "dictionary_categorize", "packbits", "delta_length_byte_array", "delta_byte_array")

@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.filters import ALL, FILTERS
+from tessera.operators import coding, registry
+from tessera.operators.batches import rows_of
+from tessera.operators.filters import ALL, UNTYPED, Layout
 
 
 
@@ -24,7 +26,11 @@ def _arrow(name: str, level: int | None = None) -> tuple[Callable, Callable]:
     def pack(raw: bytes) -> bytes:
         return codec().compress(raw, asbytes=True)
 
-    def unpack(packed: bytes, size: int) -> bytes:
+    def unpack(packed: bytes, size: int | None) -> bytes:
+        if size is None and name == "snappy":
+            size = int(coding.unuleb(packed, 1)[0][0])
+        if size is None:
+            return pa.CompressedInputStream(pa.BufferReader(packed), name).read()
         return codec().decompress(packed, decompressed_size=size, asbytes=True) if size else b""
 
     return pack, unpack
@@ -49,90 +55,72 @@ CODECS = {
 }
 #: Codecs without an implementation here: a sweep that names one returns a row with the reason.
 MISSING = ("zlib_ng", "lzo", "lzf", "szip_libaec", "ucl_nrv", "blosclz", "fastlz", "lzfse", "libbsc", "huff0", "fse")
-#: Filters that aren't written yet: a sweep that names one returns rows with the reason.
-MISSING_FILTERS = ("rle_bitpack_hybrid", "ndcell", "fcm_residual", "dfcm_residual", "lorenzo_residual")
-#: The reference's default sweep in its order, which breaks ties: bare codecs first, then every filter with every codec.
-REFERENCE_FILTERS = (
-    "identity", "shuffle", "bitshuffle", "delta", "higher_order_delta", "zigzag_uleb128_varint", "bit_packing", "rle", "rle_bitpack_hybrid", "dictionary_categorize", "byte_stream_split",
-    "nbit", "packbits", "delta_length_byte_array", "delta_byte_array", "ndcell", "tdt", "fcm_residual", "dfcm_residual", "xor_residual", "lorenzo_residual",
-)
-REFERENCE_CODECS = (
-    "zlib", "zlib_ng", "libdeflate", "zstd", "lz4", "lz4hc", "lzo", "snappy", "brotli", "bzip2", "xz_lzma2", "lzf", "szip_libaec", "ucl_nrv", "blosclz", "fastlz", "lzfse", "libbsc", "huff0",
-    "fse",
-)
-#: Rows in one output batch, about.
-BATCH = 1 << 14
+#: The default sweep in its order, which breaks ties: bare codecs first, then every filter with every codec.
+REFERENCE_FILTERS = ("identity", *registry.FILTERS)
+REFERENCE_CODECS = registry.COMPRESSORS
 DEFAULT = ("zlib", "bzip2", "xz_lzma2")
 _SCHEMA = "id long, pipeline string, ordinal long, ok boolean, in_size long, mid_size long, out_size long, ratio double, rate double, reason string"
 
 
-def names(filters: Sequence[str] = tuple(FILTERS), codecs: Sequence[str] = DEFAULT) -> list[str]:
+def names(filters: Sequence[str] = UNTYPED, codecs: Sequence[str] = DEFAULT) -> list[str]:
     return [c if f == "identity" else f"{f}->{c}" for f in filters for c in codecs]
 
 
 PIPELINES = names()
 
 
-def _packed(middle: bytes, codec: str) -> tuple[int, bytes | None]:
-    """Size of the codec's output, and what comes back of it; None where that is `middle` again."""
+def _packed(middle: bytes, codec: str) -> tuple[int | None, str | None]:
+    """Size of the codec's output; why there is none."""
     pack, unpack = CODECS[codec]
-    packed = pack(middle)
-    again = unpack(packed, len(middle))
-    return len(packed), None if again == middle else again
-
-
-def _rows(raw: bytes, chosen: Sequence[tuple], codecs: Sequence[str]) -> Iterator[tuple]:
-    """What follows id, pipeline and ordinal, in order. Filters of one output share its codecs' work, and codecs that give a filter's output back share its inverse."""
-    shared: dict[bytes, dict[str, tuple[int, bytes | None]]] = {}
-    for name, forward, back in chosen:
-        middle, reversible = None, False
-        if forward is None:
-            failed = f"filter {name} isn't available"
-        else:
-            failed = None
-            try:
-                middle = forward(raw)
-                reversible = back(middle) == raw
-            except ValueError as e:
-                failed = str(e)
+    try:
+        packed = pack(middle)
+        return (len(packed), None) if unpack(packed, len(middle)) == middle else (None, "round trip differs")
+    except Exception as e:  # a codec may fail in any way; its row says how
+        return None, str(e)
+
+
+def _filtered(raw: bytes, lay: Layout, name: str) -> tuple[bytes | None, str | None]:
+    """A filter's output, checked by its inverse once for all codecs; why there is none."""
+    forward, back = ALL[name]
+    try:
+        middle, needed = forward(raw, lay)
+        return (middle, None) if back(middle, lay, needed) == raw else (None, "round trip differs")
+    except Exception as e:
+        return None, str(e)
+
+
+def _rows(raw: bytes, lay: Layout, chosen: Sequence[str], codecs: Sequence[str]) -> Iterator[tuple]:
+    """What follows id, pipeline and ordinal, in order. Filters of one output share its codecs' work."""
+    shared: dict[bytes, dict[str, tuple[int | None, str | None]]] = {}
+    raw = raw[: len(raw) - len(raw) % lay.size]
+    for name in chosen:
+        middle, failed = _filtered(raw, lay, name)
+        known = shared.setdefault(middle, {}) if middle is not None else {}
         for codec in codecs:
             if failed is not None or codec not in CODECS:
                 yield False, len(raw), None, None, None, None, failed or f"codec {codec} isn't available"
                 continue
-            known = shared.setdefault(middle, {})
             if codec not in known:
                 known[codec] = _packed(middle, codec)
-            size, again = known[codec]
-            ok = reversible if again is None else back(again) == raw
-            yield ok, len(raw), len(middle), size, round(len(raw) / max(1, size), 6), round(size / max(1, len(raw)), 6), None if ok else "round trip differs"
+            size, reason = known[codec]
+            if size is None:
+                yield False, len(raw), len(middle), None, None, None, reason
+            else:
+                yield True, len(raw), len(middle), size, round(len(raw) / max(1, size), 6), round(size / max(1, len(raw)), 6), None
 
 
-def sweep(s: DataFrame, filters: Sequence[str] = tuple(FILTERS), codecs: Sequence[str] = DEFAULT) -> DataFrame:
-    """Each slice through each filter and codec. A filter's output is shared by its codecs; what a filter refuses and filters and codecs that aren't there are rows with a reason and ok
-    false. Rows stay where they are: no shuffle. An unknown name raises KeyError."""
-    chosen = [(f, *((None, None) if f in MISSING_FILTERS else ALL[f])) for f in filters]
-    unknown = [c for c in codecs if c not in CODECS and c not in MISSING]
+def sweep(s: DataFrame, filters: Sequence[str] = UNTYPED, codecs: Sequence[str] = DEFAULT) -> DataFrame:
+    """Each slice (id, raw[, dtype, shape]) through each filter and codec; bytes that fill no item are dropped first. A filter's output and its check are shared by its codecs; what a filter or
+    codec refuses and codecs that aren't there are rows with a reason and ok false. Rows stay where they are: no shuffle. An unknown name raises KeyError."""
+    unknown = [f for f in filters if f not in ALL] + [c for c in codecs if c not in CODECS and c not in MISSING]
     if unknown:
         raise KeyError(unknown[0])
     known = names(filters, codecs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for n, t in (x.split() for x in _SCHEMA.split(", "))])
+    def rows(i, raw: bytes, lay: Layout) -> Iterator[tuple]:
+        return ((i, known[at], at, *r) for at, r in enumerate(_rows(raw, lay, filters, codecs)))
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-        rows: list[tuple] = []
-        for batch in batches:
-            for i, raw in zip(batch.column(0), batch.column(1)):
-                rows += [(i.as_py(), known[at], at, *r) for at, r in enumerate(_rows(raw.as_py() or b"", chosen, codecs))]
-                if len(rows) >= BATCH:
-                    yield batch_of(rows)
-                    rows = []
-        if rows:
-            yield batch_of(rows)
-
-    return s.select("id", "raw").mapInArrow(run, _SCHEMA)
+    return rows_of(s, rows, _SCHEMA)
 
 
 def best(results: DataFrame) -> DataFrame:
