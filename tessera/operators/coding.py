@@ -7,8 +7,8 @@ import numpy as np
 _SEVEN = np.uint64(7)
 
 
-def uleb(values: np.ndarray) -> bytes:
-    """LEB128 of unsigned values, one after the other."""
+def uleb(values: np.ndarray, after: np.ndarray | None = None) -> bytes:
+    """LEB128 of unsigned values, one after the other, each followed by its byte of `after`, if that is given."""
     v = np.asarray(values, np.uint64)
     if not len(v):
         return b""
@@ -17,7 +17,24 @@ def uleb(values: np.ndarray) -> bytes:
     used = parts > 0
     used[:, 0] = True
     more = np.concatenate([used[:, 1:], np.zeros((len(v), 1), bool)], axis=1)
-    return ((parts & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7))[used].tobytes()
+    out = (parts & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
+    if after is not None:
+        out, used = np.column_stack([out, after]), np.column_stack([used, np.ones(len(v), bool)])
+    return out[used].tobytes()
+
+
+def unuleb1(raw: bytes, at: int) -> tuple[int, int]:
+    """One value from `at`, and where it ends."""
+    n = shift = 0
+    while True:
+        if at >= len(raw) or shift > 63:
+            raise ValueError("a value is cut off or longer than ten bytes")
+        c = raw[at]
+        at += 1
+        n |= (c & 127) << shift
+        if c < 128:
+            return n, at
+        shift += 7
 
 
 def uleb1(n: int) -> bytes:

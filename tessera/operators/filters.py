@@ -56,20 +56,18 @@ def rle(raw: bytes) -> bytes:
     if not len(x):
         return b""
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return b"".join(coding.uleb1(int(n)) + bytes([x[a]]) for a, n in zip(at, np.diff(np.append(at, len(x)))))
+    return coding.uleb(np.diff(np.append(at, len(x))), x[at])
 
 
 def unrle(raw: bytes) -> bytes:
+    x = np.frombuffer(raw, np.uint8)
+    if len(x) % 2 == 0 and (x[::2] < 128).all():
+        return np.repeat(x[1::2], x[::2]).tobytes()
     out, at = [], 0
     while at < len(raw):
-        n = shift = 0
-        while raw[at] & 128:
-            n |= (raw[at] & 127) << shift
-            shift += 7
-            at += 1
-        n |= raw[at] << shift
-        out.append(raw[at + 1 : at + 2] * n)
-        at += 2
+        n, at = coding.unuleb1(raw, at)
+        out.append(raw[at : at + 1] * n)
+        at += 1
     return b"".join(out)
 
 
@@ -187,9 +185,10 @@ def unfront_coding(raw: bytes) -> bytes:
     (n,), at = coding.unuleb(raw, 1)
     out, before = [], b""
     for _ in range(int(n)):
-        (shared, more), at = coding.unuleb(raw, 2, at)
-        before = before[: int(shared)] + raw[at : at + int(more)]
-        at += int(more)
+        shared, at = coding.unuleb1(raw, at)
+        more, at = coding.unuleb1(raw, at)
+        before = before[:shared] + raw[at : at + more]
+        at += more
         out.append(before)
     return b"".join(out)
 
@@ -257,13 +256,13 @@ def unhybrid(raw: bytes, bits: int) -> np.ndarray:
     out, at = [], 0
     while at < len(raw):
         kind, at = raw[at], at + 1
-        (n,), at = coding.unuleb(raw, 1, at)
+        n, at = coding.unuleb1(raw, at)
         if kind:
-            (value,), at = coding.unuleb(raw, 1, at)
-            out.append(np.full(int(n), value, np.uint64))
+            value, at = coding.unuleb1(raw, at)
+            out.append(np.full(n, value, np.uint64))
         else:
-            end = at + (int(n) * bits + 7) // 8
-            out.append(coding.unpack(raw[at:end], int(n), bits))
+            end = at + (n * bits + 7) // 8
+            out.append(coding.unpack(raw[at:end], n, bits))
             at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 

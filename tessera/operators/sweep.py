@@ -41,6 +41,12 @@ def _raw_deflate(raw: bytes) -> bytes:
     return c.compress(raw) + c.flush()
 
 
+def _xz(raw: bytes) -> bytes:
+    """Preset 6 with a dictionary no larger than the input needs: the stream is as long, and small slices don't pay for 8 MB of tables."""
+    needed = max(4096, min(8 << 20, 1 << max(0, len(raw) - 1).bit_length()))
+    return lzma.compress(raw, filters=[{"id": lzma.FILTER_LZMA2, "preset": 6, "dict_size": needed}])
+
+
 #: (pack, unpack given the size) by name; levels are fixed values.
 CODECS = {
     "zlib": (lambda x: zlib.compress(x, 6), lambda x, n: zlib.decompress(x)),
@@ -51,7 +57,7 @@ CODECS = {
     "snappy": _arrow("snappy"),
     "brotli": _arrow("brotli", 5),
     "bzip2": (lambda x: bz2.compress(x, 9), lambda x, n: bz2.decompress(x)),
-    "xz_lzma2": (lambda x: lzma.compress(x, preset=6), lambda x, n: lzma.decompress(x)),
+    "xz_lzma2": (_xz, lambda x, n: lzma.decompress(x)),
 }
 #: Codecs without an implementation here: a sweep that names one returns a row with the reason.
 MISSING = ("zlib_ng", "lzo", "lzf", "szip_libaec", "ucl_nrv", "blosclz", "fastlz", "lzfse", "libbsc", "huff0", "fse")
