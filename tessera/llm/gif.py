@@ -11,6 +11,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,35 +26,36 @@ BINS = 16
 
 
 def lzw_encode(data: bytes, depth: int = 8) -> bytes:
+    """Words are nodes of a trie: a node maps the next byte to the code and node of the longer word."""
     clear = 1 << depth
-    codes: dict[int, int] = {}
+    tries: list[dict] = [{} for _ in range(clear)]
     free, width = clear + 2, depth + 1
     out, held, bits = bytearray(), clear, width
     if data:
         now = data[0]
+        node = tries[now]
         for b in data[1:]:
-            k = now << 8 | b
-            c = codes.get(k)
-            if c is not None:
-                now = c
+            found = node.get(b)
+            if found is not None:
+                now, node = found
                 continue
             held |= now << bits
             bits += width
-            if bits >= 256:
-                out += (held & ((1 << 256) - 1)).to_bytes(32, "little")
-                held >>= 256
-                bits -= 256
+            if bits >= 512:
+                out += (held & ((1 << 512) - 1)).to_bytes(64, "little")
+                held >>= 512
+                bits -= 512
             if free < 4096:
-                codes[k] = free
+                node[b] = (free, {})
                 if free == 1 << width:
                     width += 1
                 free += 1
             else:
                 held |= clear << bits
                 bits += width
-                codes = {}
+                tries = [{} for _ in range(clear)]
                 free, width = clear + 2, depth + 1
-            now = b
+            now, node = b, tries[b]
         held |= now << bits
         bits += width
         # The decoder has one entry more by now, and may be a bit wider.
@@ -64,48 +66,63 @@ def lzw_encode(data: bytes, depth: int = 8) -> bytes:
     return bytes(out) + held.to_bytes((bits + 7) // 8, "little")
 
 
+@lru_cache(maxsize=16)
+def _widths(depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each code since a clear code, and where it begins: the table has an entry more with each code but the first, until it is full."""
+    entries = (1 << depth) + 2 + np.maximum(np.arange(4096) - 1, 0)
+    width = np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, depth + 1, 12)
+    return width, np.cumsum(width) - width
+
+
+def _codes(data: np.ndarray, at: int, depth: int, full: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Codes from bit `at` on, as many as there may be before the table is full (or 4,096 of twelve bits, if it is), and where each ends."""
+    width, start = (np.full(4096, 12), np.arange(4096) * 12) if full else _widths(depth)
+    ends = at + start + width
+    n = int(np.searchsorted(ends, (len(data) - 3) * 8, "right"))
+    place = at + start[:n]
+    byte = place >> 3
+    window = data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16
+    return window >> (place & 7) & ((1 << width[:n]) - 1), ends[:n]
+
+
 def lzw_decode(data: bytes, depth: int, size: int) -> bytes:
     clear = 1 << depth
     end = clear + 1
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, last = list(base), depth + 1, None
-    out, total, held, bits, at = [], 0, 0, 0, 0
+    bits = np.frombuffer(data + bytes(3), np.uint8).astype(np.int64)
+    out: list[bytes] = []
+    total, at, table, last, full = 0, 0, list(base), None, False
     while total < size:
-        if bits < width:
-            piece = data[at : at + 24]
-            if not piece:
-                raise ValueError("code stream ends early")
-            held |= int.from_bytes(piece, "little") << bits
-            bits += 8 * len(piece)
-            at += len(piece)
-            if bits < width:
-                raise ValueError("code stream ends early")
-        code = held & ((1 << width) - 1)
-        held >>= width
-        bits -= width
-        if code == clear:
-            table, width, last = list(base), depth + 1, None
-            continue
-        if code == end:
-            break
-        if last is None:
-            if code >= clear:
-                raise ValueError("bad first code")
-            word = table[code]
-        else:
-            if code < len(table):
+        codes, ends = _codes(bits, at, depth, full)
+        if not len(codes):
+            raise ValueError("code stream ends early")
+        stops = np.flatnonzero((codes == clear) | (codes == end))
+        n = int(stops[0]) if len(stops) else len(codes)
+        for code in codes[:n].tolist():
+            if last is None:
+                if code >= clear:
+                    raise ValueError("bad first code")
+                word = table[code]
+            elif code < len(table):
                 word = table[code]
+                if len(table) < 4096:
+                    table.append(last + word[:1])
             elif code == len(table) < 4096:
                 word = last + last[:1]
+                table.append(word)
             else:
                 raise ValueError("bad code")
-            if len(table) < 4096:
-                table.append(last + word[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-        out.append(word)
-        total += len(word)
-        last = word
+            out.append(word)
+            last = word
+            total += len(word)
+            if total >= size:
+                break
+        if total >= size or n < len(codes) and codes[n] == end:
+            break
+        if n < len(codes):
+            at, table, last, full = int(ends[n]), list(base), None, False
+        else:
+            at, full = int(ends[-1]), True
     return b"".join(out)[:size]
 
 
