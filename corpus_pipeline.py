@@ -1,4 +1,7 @@
-"""A training corpus from `documents`: language, near duplicates, secrets, source weights, packed sequences."""
+"""A training corpus from `documents`: language, near duplicates, secrets, source weights, packed sequences.
+
+Every stage decides row by row: null and repeated doc_id, repeated rows, null and empty texts and empty tables are inputs like others, and extra columns are dropped. The module needs the
+subpackage `tessera.llm` and fails to import without it."""
 
 from __future__ import annotations
 
@@ -35,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets found are masked in place; no document goes."""
+    """Secrets found are masked in place; no document goes, a null text stays null."""
     import pyarrow as pa
 
     rest = [c for c in ("lang", "source", ROW) if c in docs.columns]
@@ -60,6 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null text is the closing id alone; rows that repeat a doc_id are documents of their own."""
     return packing.pack(docs)
 
 
