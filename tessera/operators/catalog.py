@@ -39,8 +39,12 @@ def typed_slices(rows: DataFrame, key: str, order: list[str], value: str) -> Dat
     return lists.mapInArrow(run, "id long, raw binary, dtype string, shape array<long>")
 
 
+#: Order keys of a slice of prices: slices get more with the table, not longer.
+PRICES = 2048
+
+
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir).withColumn("k", F.col("o_custkey") % 40)
+    rows = _orders(spark, sf_dir).withColumn("k", F.floor(F.col("o_orderkey") / PRICES))
     return typed_slices(rows, "k", ["o_orderkey"], "o_totalprice")
 
 
@@ -178,7 +182,7 @@ def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranker that is trained on slices' features and best pipelines and ranks them: (id, label, score, rank)."""
-    s = _slices(spark, sf_dir).where("id % 10 = 0")
+    s = _slices(spark, sf_dir)
     best = sweep.best(sweep.sweep(s, ("identity", "rle", "delta"), ("zlib", "zstd", "bzip2")))
     space = [r.label for r in learning.label_space(best.withColumnRenamed("best_pipeline", "label"), "label").orderBy("y").collect()]
     place = F.array_position(F.array(*map(F.lit, space)), F.col("best_pipeline")) - 1
@@ -246,7 +250,7 @@ def queries() -> dict:
         "deployable_pipelines": lambda s, d: registry.deployable(s),
         "container_headers": _headers,
         "container_restored": _restored,
-        "text_round_trips": lambda s, d: _trips(_slices(s, d).where("id % 20 = 0")),
+        "text_round_trips": lambda s, d: _trips(_slices(s, d)),
         "typed_round_trips": lambda s, d: _trips(_prices(s, d)),
         "exhaustive_ranking": lambda s, d: container.exhaustive(_prices(s, d)),
         "slice_features": lambda s, d: features.extract(_prices(s, d)).select("id", F.transform("features", lambda x: F.round(x, 6)).alias("features")),
@@ -395,6 +399,6 @@ SELECT 'docs/' || doc_id || '.txt' AS path, max(piece)::BIGINT AS pieces, sum(n)
         "deployable_pipelines": f"SELECT pipeline_id::INT AS pipeline_id, pipeline FROM ({ids}) v(pipeline_id, pipeline)",
         "container_headers": "SELECT doc_id AS id, 1 AS version, 'exhaustive' AS mode, 26 AS pipeline_id, 0::BIGINT AS tail_size, strlen(coalesce(text, ''))::BIGINT AS original_size, 'zlib' AS pipeline, strlen(coalesce(text, ''))::BIGINT AS aligned FROM documents",
         "container_restored": "SELECT doc_id AS id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, ''))::BIGINT AS size FROM documents",
-        "text_round_trips": f"SELECT pipeline_id::INT AS pipeline_id, pipeline, count(*) AS n, sum((pipeline IN ({untyped}))::INT)::BIGINT AS ok FROM documents, ({ids}) v(pipeline_id, pipeline) WHERE doc_id % 20 = 0 GROUP BY 1, 2",
-        "typed_round_trips": f"SELECT pipeline_id::INT AS pipeline_id, pipeline, count(DISTINCT o_custkey % 40) AS n, count(DISTINCT o_custkey % 40) AS ok FROM orders, ({ids}) v(pipeline_id, pipeline) GROUP BY 1, 2",
+        "text_round_trips": f"SELECT pipeline_id::INT AS pipeline_id, pipeline, count(*) AS n, sum((pipeline IN ({untyped}))::INT)::BIGINT AS ok FROM documents, ({ids}) v(pipeline_id, pipeline) GROUP BY 1, 2",
+        "typed_round_trips": f"SELECT pipeline_id::INT AS pipeline_id, pipeline, count(DISTINCT o_orderkey // {PRICES}) AS n, count(DISTINCT o_orderkey // {PRICES}) AS ok FROM orders, ({ids}) v(pipeline_id, pipeline) GROUP BY 1, 2",
     }
