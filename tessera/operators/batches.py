@@ -42,8 +42,15 @@ def bounded(batches: Iterable[pa.RecordBatch], fn: Callable[[tuple], Iterable[tu
         yield made()
 
 
-def rows_of(s: DataFrame, fn: Callable[[int, bytes, Layout], Iterable[tuple]], schema: str) -> DataFrame:
-    """Rows of `fn(id, bytes, layout)` for each slice (id, raw[, dtype, shape]); null bytes are empty. No shuffle."""
+def spread(s: DataFrame) -> DataFrame:
+    """Rows dealt in turn over as many tasks as a shuffle has, four for each core at least. It is for work that costs far more for a byte than moving it: a scan has only as many busy tasks as the
+    table has row groups, and long slices may lie together."""
+    spark = s.sparkSession
+    return s.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
+def rows_of(s: DataFrame, fn: Callable[[int, bytes, Layout], Iterable[tuple]], schema: str, heavy: bool = False) -> DataFrame:
+    """Rows of `fn(id, bytes, layout)` for each slice (id, raw[, dtype, shape]); null bytes are empty. No shuffle, unless `fn` is said to be heavy: see `spread`."""
     typed = "dtype" in s.columns
 
     def one(row: tuple) -> Iterable[tuple]:
@@ -52,4 +59,5 @@ def rows_of(s: DataFrame, fn: Callable[[int, bytes, Layout], Iterable[tuple]], s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from bounded(batches, one, schema)
 
-    return s.select("id", "raw", *(["dtype", "shape"] if typed else [])).mapInArrow(run, schema)
+    rows = s.select("id", "raw", *(["dtype", "shape"] if typed else []))
+    return (spread(rows) if heavy else rows).mapInArrow(run, schema)

@@ -132,7 +132,7 @@ def exhaustive(s: DataFrame, candidates: tuple[str, ...] = registry.DEPLOYABLE)
         for rank, (failed, size, _, name, reason) in enumerate(sorted(tried), 1):
             yield i, rank, name, None if failed else size, not failed, reason
 
-    return rows_of(s, rows, "id long, rank int, pipeline string, stored_size long, available boolean, reason string")
+    return rows_of(s, rows, "id long, rank int, pipeline string, stored_size long, available boolean, reason string", heavy=True)
 
 
 def pack(s: DataFrame, candidates: tuple[str, ...] = registry.DEPLOYABLE, mode: str = "exhaustive") -> DataFrame:
@@ -145,7 +145,7 @@ def pack(s: DataFrame, candidates: tuple[str, ...] = registry.DEPLOYABLE, mode:
         best = min(made, key=lambda a: a.stored_size)
         yield i, best.pipeline, to_file(best, len(raw), mode)
 
-    return rows_of(s, rows, "id long, pipeline string, file binary")
+    return rows_of(s, rows, "id long, pipeline string, file binary", heavy=True)
 
 
 def _mapped(files: DataFrame, fn, schema: str) -> DataFrame:
@@ -177,7 +177,7 @@ def round_trips(s: DataFrame, candidates: tuple[str, ...] = registry.DEPLOYABLE)
         for name, _, reason, made in ranking(raw, lay, list(candidates)):
             yield i, registry.IDS.get(name), name, made is not None and from_file(to_file(made, len(raw))) == raw, reason
 
-    return rows_of(s, rows, "id long, pipeline_id int, pipeline string, ok boolean, reason string")
+    return rows_of(s, rows, "id long, pipeline_id int, pipeline string, ok boolean, reason string", heavy=True)
 
 
 def hybrid(ranked: DataFrame, measured: DataFrame, k: int) -> DataFrame:

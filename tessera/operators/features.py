@@ -152,7 +152,7 @@ def extract(s: DataFrame) -> DataFrame:
         shape = list(lay.shape) if lay.shape else None
         yield i, vector(raw, lay.dtype, shape, "filename_numbers" if shape else "unknown")
 
-    return rows_of(s, rows, "id long, features array<double>")
+    return rows_of(s, rows, "id long, features array<double>", heavy=True)
 
 
 def padded(x: Column, width: int) -> Column:

@@ -117,7 +117,7 @@ def _rows(raw: bytes, lay: Layout, chosen: Sequence[str], codecs: Sequence[str])
 
 def sweep(s: DataFrame, filters: Sequence[str] = UNTYPED, codecs: Sequence[str] = DEFAULT) -> DataFrame:
     """Each slice (id, raw[, dtype, shape]) through each filter and codec; bytes that fill no item are dropped first. A filter's output and its check are shared by its codecs; what a filter or
-    codec refuses and codecs that aren't there are rows with a reason and ok false. Rows stay where they are: no shuffle. An unknown name raises KeyError."""
+    codec refuses and codecs that aren't there are rows with a reason and ok false. Slices are dealt over all tasks first. An unknown name raises KeyError."""
     unknown = [f for f in filters if f not in ALL] + [c for c in codecs if c not in CODECS and c not in MISSING]
     if unknown:
         raise KeyError(unknown[0])
@@ -126,7 +126,7 @@ def sweep(s: DataFrame, filters: Sequence[str] = UNTYPED, codecs: Sequence[str]
     def rows(i, raw: bytes, lay: Layout) -> Iterator[tuple]:
         return ((i, known[at], at, *r) for at, r in enumerate(_rows(raw, lay, filters, codecs)))
 
-    return rows_of(s, rows, _SCHEMA)
+    return rows_of(s, rows, _SCHEMA, heavy=True)
 
 
 def best(results: DataFrame) -> DataFrame:
