@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars
 from tessera.operators import bytes as b
 from tessera.operators import catalog, coding, container, features, learning, registry, sampling, sweep
+from tessera.operators.batches import spread
 from tessera.operators.filters import ALL, UNTYPED, Context, Layout, cells, front_coding, hybrid, lorenzo, packbits
 from tessera.sources import scan, split
 
@@ -86,6 +87,13 @@ def test_empty_slices_give_no_row(spark):
     assert b.histogram(s, zeros=True).count() == 512
 
 
+def test_heavy_work_is_dealt_over_all_tasks(spark):
+    s = spark.createDataFrame([(i, bytearray(b"ab" * i)) for i in range(64)], "id long, raw binary").coalesce(1)
+    where = s.transform(spread).select("id", F.spark_partition_id().alias("at"))
+    assert where.count() == 64 and where.agg(F.count_distinct("at")).first()[0] == 16
+    assert sorted(r.id for r in container.unpack(container.pack(s, ("zlib",))).collect() if bytes(r.raw) == b"ab" * r.id) == [*range(64)]
+
+
 def test_sweep_is_lossless_and_best_is_its_maximum(spark):
     s = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(RAW)], "id long, raw binary")
     rows = sweep.sweep(s).collect()
