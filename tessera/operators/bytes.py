@@ -3,6 +3,7 @@ whole by one worker, and its working arrays are a small multiple of it; blocks b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,13 @@ def slices(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
 
 
+def rounded(x: float) -> float:
+    """To six places as SQL does: the product is rounded, halves away from zero. Python's round takes halves of the value itself to even."""
+    y = abs(float(x)) * 1e6
+    whole = math.floor(y)
+    return math.copysign((whole + (y - whole >= 0.5)) / 1e6, x)
+
+
 def counts(raw: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
 
@@ -93,7 +101,7 @@ def entropy(s: DataFrame) -> DataFrame:
             n = counts(raw)
             p, (mean, std) = n / len(raw), moments(n)
             top = np.sort(p)[::-1]
-            yield i, *(round(float(x), 6) for x in (entropy_of(n), p[0], p[255], top[0], top[:4].sum(), (n > 0).mean(), mean / 255, std / 128))
+            yield i, *(rounded(x) for x in (entropy_of(n), p[0], p[255], top[0], top[:4].sum(), (n > 0).mean(), mean / 255, std / 128))
 
     return rows_of(s, rows, "id long, entropy double, zero_frac double, ff_frac double, top1_frac double, top4_frac double, unique_byte_ratio double, mean_byte double, std_byte double")
 
@@ -110,7 +118,7 @@ def adjacent(s: DataFrame) -> DataFrame:
         if len(raw) > 1:
             far, xor = adjacent_counts(raw)
             mean, std = moments(far)
-            yield i, *(round(x, 6) for x in (float(far[0] / far.sum()), mean / 255, std / 128, entropy_of(far), entropy_of(xor)))
+            yield i, *(rounded(x) for x in (float(far[0] / far.sum()), mean / 255, std / 128, entropy_of(far), entropy_of(xor)))
 
     return rows_of(s, rows, "id long, same_adjacent double, mean_delta double, std_delta double, delta_entropy double, xor_entropy double")
 
@@ -121,7 +129,7 @@ def window_stats(s: DataFrame, width: int = WINDOW) -> DataFrame:
     def rows(i, raw: bytes, _) -> Iterator[tuple]:
         if raw:
             e = np.array(window_entropies(raw, width)) / 8
-            yield i, len(e), *(round(float(x), 6) for x in (e.mean(), e.std(), e.min(), e.max()))
+            yield i, len(e), *(rounded(x) for x in (e.mean(), e.std(), e.min(), e.max()))
 
     return rows_of(s, rows, "id long, windows int, mean double, std double, least double, most double")
 
