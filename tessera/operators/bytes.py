@@ -108,7 +108,7 @@ def entropy(s: DataFrame) -> DataFrame:
 
 def bit_density(s: DataFrame) -> DataFrame:
     """Mean of each bit, highest first."""
-    return rows_of(s, lambda i, raw, _: [(i, *(round(x, 6) for x in bit_shares(counts(raw))))] if raw else [], "id long, " + ", ".join(f"bit{k} double" for k in range(8)))
+    return rows_of(s, lambda i, raw, _: [(i, *(rounded(x) for x in bit_shares(counts(raw))))] if raw else [], "id long, " + ", ".join(f"bit{k} double" for k in range(8)))
 
 
 def adjacent(s: DataFrame) -> DataFrame:

@@ -90,6 +90,7 @@ def test_empty_slices_give_no_row(spark):
 def test_shares_are_rounded_as_by_sql(spark):
     s = spark.createDataFrame([(1, bytearray(range(26))), (2, bytearray(b"@" * 473 + bytes(167)))], "id long, raw binary")
     assert [r.unique_byte_ratio for r in b.entropy(s).orderBy("id").collect()] == [0.101563, 0.007813]
+    assert b.bit_density(s).where("id = 2").first().bit1 == 0.739063
     assert (b.rounded(0.0), b.rounded(-0.0000005), b.rounded(2.5e-7), b.rounded(7.9999999)) == (0.0, -0.000001, 0.0, 8.0)
 
 
