@@ -255,7 +255,7 @@ def queries() -> dict:
         "exhaustive_ranking": lambda s, d: container.exhaustive(_prices(s, d)),
         "slice_features": lambda s, d: features.extract(_prices(s, d)).select("id", F.transform("features", lambda x: F.round(x, 6)).alias("features")),
         "trained_ranking": _trained,
-        "best_pipeline": lambda s, d: sweep.best(sweep.sweep(_slices(s, d), sweep.REFERENCE_FILTERS, sweep.REFERENCE_CODECS)),
+        "best_pipeline": lambda s, d: sweep.best_swept(_slices(s, d), sweep.REFERENCE_FILTERS, sweep.REFERENCE_CODECS),
     }
 
 

@@ -1,8 +1,10 @@
 import bz2
 import gzip
 import io
+import itertools
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import bytes as b
-from tessera.operators import catalog, coding, container, features, learning, registry, sampling, sweep
+from tessera.operators import catalog, coding, container, features, filters, learning, registry, sampling, sweep
 from tessera.operators.batches import spread
 from tessera.operators.filters import ALL, UNTYPED, Context, Layout, cells, front_coding, hybrid, lorenzo, packbits
 from tessera.sources import scan, split
@@ -109,6 +111,41 @@ def test_sweep_is_lossless_and_best_is_its_maximum(spark):
         assert r.best_ratio == max(x.ratio for x in rows if x.id == r.id)
 
 
+def test_best_needs_one_round_trip_unless_it_fails(monkeypatch):
+    trips = []
+    wrong = {"xz_lzma2", "brotli"}
+
+    def counted(name, unpack, lossy):
+        return lambda x, n: trips.append(name) or (b"" if lossy and name in wrong else unpack(x, n))
+
+    for lossy in (False, True):
+        with monkeypatch.context() as patch:
+            for name, (pack, unpack) in sweep.CODECS.items():
+                patch.setitem(sweep.CODECS, name, (pack, counted(name, unpack, lossy)))
+            for raw in RAW:
+                trips.clear()
+                found, sizes = sweep._tried(raw, Layout(), sweep.REFERENCE_FILTERS, sweep.REFERENCE_CODECS)
+                assert len(trips) == 1 or lossy
+                rows = list(sweep._rows(raw, Layout(), sweep.REFERENCE_FILTERS, sweep.REFERENCE_CODECS))
+                ratio, at = max((r[4], -k) for k, r in enumerate(rows) if r[0])
+                assert found == (-at, ratio) and all(rows[k][3] == n for k, n in sizes.items() if rows[k][0])
+
+
+def test_filters_give_the_bytes_of_their_plain_forms():
+    r = random.Random(3)
+    runs = [b"".join(bytes([r.randrange(4)]) * r.choice((1, 2, 3, 127, 128, 129, 131, 257, 400)) for _ in range(r.randrange(30))) for _ in range(60)]
+    for raw in [*RAW, *runs]:
+        plain = coding.uleb1(len(raw)) + b"".join(bytes([1, 0]) if i and raw[i] == raw[i - 1] else bytes([0, 1, raw[i]]) for i in range(len(raw)))
+        assert raw.count(b"\n") >= 2 or filters.front_coding(raw) == plain
+        groups = [(k, len(list(g))) for k, g in itertools.groupby(raw)]
+        assert filters.rle(raw) == b"".join(coding.uleb1(n) + bytes([k]) for k, n in groups)
+        names = list(dict.fromkeys(raw))
+        bits = max(1, (len(names) - 1).bit_length() if names else 0)
+        text = "".join(f"{names.index(c):0{bits}b}"[::-1] for c in raw)
+        packed = bytes(int(text[i : i + 8][::-1], 2) for i in range(0, len(text), 8))
+        assert filters.dictionary(raw) == b"".join(map(coding.uleb1, (1, len(raw), len(names), bits))) + bytes(names) + packed
+
+
 def test_split_is_over_all_labelled_rows(spark):
     rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(20)] + [(99, None), (98, "")], "id long, label string")
     out = sampling.split(rows, "label").collect()
