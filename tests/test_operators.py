@@ -146,6 +146,14 @@ def test_filters_give_the_bytes_of_their_plain_forms():
         assert filters.dictionary(raw) == b"".join(map(coding.uleb1, (1, len(raw), len(names), bits))) + bytes(names) + packed
 
 
+def test_candidates_share_outputs_of_filters(monkeypatch):
+    calls = []
+    forward, back = ALL["delta"]
+    monkeypatch.setitem(ALL, "delta", (lambda raw, lay: calls.append(1) or forward(raw, lay), back))
+    made = container.ranking(b"one two three " * 9, Layout(), registry.DEPLOYABLE)
+    assert len(calls) == 1 and all(container.from_file(container.to_file(a, 126)) == b"one two three " * 9 for *_, a in made if a)
+
+
 def test_split_is_over_all_labelled_rows(spark):
     rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(20)] + [(99, None), (98, "")], "id long, label string")
     out = sampling.split(rows, "label").collect()
