@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,13 +183,14 @@ def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranker that is trained on slices' features and best pipelines and ranks them: (id, label, score, rank)."""
-    s = _slices(spark, sf_dir)
-    best = sweep.best(sweep.sweep(s, ("identity", "rle", "delta"), ("zlib", "zstd", "bzip2")))
-    space = [r.label for r in learning.label_space(best.withColumnRenamed("best_pipeline", "label"), "label").orderBy("y").collect()]
+    both = sweep.examples(_slices(spark, sf_dir), ("identity", "rle", "delta"), ("zlib", "zstd", "bzip2")).persist(StorageLevel.DISK_ONLY)
+    space = [r.label for r in learning.label_space(both.withColumnRenamed("best_pipeline", "label"), "label").orderBy("y").collect()]
     place = F.array_position(F.array(*map(F.lit, space)), F.col("best_pipeline")) - 1
-    rows = features.extract(s).withColumnRenamed("features", "x")
-    model = learning.train(rows.join(best.select("id", place.cast("double").alias("y")), "id").select("x", "y"), [len(features.NAMES), 16, max(2, len(space))], epochs=10)
-    return learning.ranked(learning.scores_of(model, rows, space)).withColumn("score", F.round("score", 6))
+    model = learning.train(both.where("best_pipeline is not null").select("x", place.cast("double").alias("y")), [len(features.NAMES), 16, max(2, len(space))], epochs=10)
+    scores = learning.scores_of(model, both.select("id", "x"), space).persist(StorageLevel.DISK_ONLY)
+    scores.count()
+    both.unpersist()
+    return learning.ranked(scores).withColumn("score", F.round("score", 6))
 
 
 def _rounded(df: DataFrame, column: str) -> DataFrame:

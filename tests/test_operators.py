@@ -154,6 +154,15 @@ def test_candidates_share_outputs_of_filters(monkeypatch):
     assert len(calls) == 1 and all(container.from_file(container.to_file(a, 126)) == b"one two three " * 9 for *_, a in made if a)
 
 
+def test_examples_are_features_beside_best_pipelines(spark):
+    s = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate([*RAW, b"long and longer " * 9000])], "id long, raw binary")
+    chosen, codecs = ("identity", "rle", "delta"), ("zlib", "zstd", "bzip2")
+    got = {r.id: r for r in sweep.examples(s, chosen, codecs).collect()}
+    best = {r.id: r.best_pipeline for r in sweep.best(sweep.sweep(s, chosen, codecs)).collect()}
+    assert {i: r.best_pipeline for i, r in got.items()} == best
+    assert {i: r.x for i, r in got.items()} == {r.id: r.features for r in features.extract(s).collect()}
+
+
 def test_split_is_over_all_labelled_rows(spark):
     rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(20)] + [(99, None), (98, "")], "id long, label string")
     out = sampling.split(rows, "label").collect()
